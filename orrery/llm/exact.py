@@ -19,6 +19,15 @@ from .common import SPACE_CLASS, fresh_path, materialize
 FILTER_BITS = 1 << 22
 _PAGE = 32768  # bits of one bitmap of Spark's bitmap_* functions
 
+_ROCKS = "spark.sql.streaming.stateStore.rocksdb"
+#: The state store: on disk, with its changes in the shared folder instead of whole snapshots each
+#: time, and without room set aside for files that stay small.
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    f"{_ROCKS}.changelogCheckpointing.enabled": "true",
+    f"{_ROCKS}.allowFAllocate": "false",
+}
+
 
 def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE_CLASS, "")
@@ -51,9 +60,9 @@ def fold_stream(table: DataFrame, files_per_batch: int) -> DataFrame:
     log, state = fresh_path(spark, "exact-log"), fresh_path(spark, "exact-state")
     if source is None:
         return table.groupBy("digest").agg(F.max(_rank()).alias("best"), F.count("*").alias("group_size"))
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider, None)
-    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    before = {k: spark.conf.get(k, None) for k in STATE_CONF}
+    for k, v in STATE_CONF.items():
+        spark.conf.set(k, v)
     try:
         stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
         held = stream.groupBy("digest").agg(F.max(_rank()).alias("best"), F.count("*").alias("group_size"))
@@ -65,7 +74,8 @@ def fold_stream(table: DataFrame, files_per_batch: int) -> DataFrame:
         query = held.writeStream.outputMode("update").option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(append).start()
         query.awaitTermination()
     finally:
-        spark.conf.unset(provider) if before is None else spark.conf.set(provider, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     changes = spark.read.schema(held.schema.add("epoch", IntegerType())).parquet(log)
     last = F.max(F.struct("epoch", "best", "group_size")).alias("last")
     return changes.groupBy("digest").agg(last).select("digest", "last.best", "last.group_size")
