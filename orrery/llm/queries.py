@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, exact, mix
-from .common import SPACE_CLASS
+from . import ann, bpe, chat, exact, graph, mix, suffixes
+from .common import SPACE_CLASS, WORD_PATTERN
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -20,6 +20,11 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest_formatted(chat.format_conversations(rows))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffixes.remove_repeated_bytes(_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.dedup_exact(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -34,11 +39,16 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mix(_table(spark, sf_dir, "documents", "doc_id", "text", "source")).drop("source")
 
 
+def op6_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = graph.remove_repeated_words(_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 100 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op3_exact_dedup, op4_byte_bpe, op5_source_mixing, op8_nearest_vectors)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_suffix_dedup, op3_exact_dedup, op4_byte_bpe, op5_source_mixing, op6_debruijn_dedup, op8_nearest_vectors)}
 
 _ESCAPED = "replace(replace(replace(replace(replace({0}, '\\', '\\\\'), '<turn>', '\\<turn>'), '</role>', '\\</role>'), '</turn>', '\\</turn>'), '### Assistant:', '\\### Assistant:')"
 
@@ -63,6 +73,19 @@ ranked AS (
   FROM rows WINDOW best AS (PARTITION BY text_sha256 ORDER BY length(text) DESC, doc_id NULLS LAST))
 SELECT doc_id, keep_id, group_size::BIGINT AS group_size, n = 1 AS kept, text_sha256 FROM ranked""",
     "op5_source_mixing": mix.ORACLE,
+    "op6_debruijn_dedup": rf"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD_PATTERN}') AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') AS gram
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM docs WHERE len(w) >= 13)),
+least AS (SELECT gram, min(doc_id) AS least FROM windows GROUP BY gram HAVING min(doc_id) < max(doc_id)),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i
+  FROM (SELECT w.doc_id, w.i FROM windows w JOIN least l ON w.gram = l.gram WHERE l.least < w.doc_id)),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM docs),
+kept AS (SELECT w.doc_id, string_agg(w.word, ' ' ORDER BY w.i) AS kept, count(*) AS n FROM words w ANTI JOIN gone g ON w.doc_id = g.doc_id AND w.i = g.i GROUP BY w.doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, (len(d.w) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM docs d LEFT JOIN kept k ON d.doc_id = k.doc_id""",
     "op8_nearest_vectors": """
 WITH v AS (
   SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
