@@ -24,6 +24,8 @@ QUERY_BLOCK = 2048
 SIGMAS = 4.0
 #: Rows of the index compared at once.
 ROW_BLOCK = 4096
+QUERIES_AT_ONCE = 256
+PAIRS_AT_ONCE = 1 << 17
 
 
 def rotation(dim: int, seed: int = 7) -> np.ndarray:
@@ -33,8 +35,8 @@ def rotation(dim: int, seed: int = 7) -> np.ndarray:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v): vectors as doubles, without those that are null, empty, zero, or hold null, infinite or
-    NaN components, or have another length than most (than the longer of equally many)."""
+    """(vec_id, v): vectors as doubles, without those that are null, empty, zero, or hold null, or
+    non-finite components."""
     v = F.transform("embedding", lambda x: x.cast("double"))
     ok = F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))), F.lit(False)) & F.exists("v", lambda x: x != 0)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).filter(F.col("vec_id").isNotNull()).filter(ok)
@@ -85,51 +87,55 @@ def search_block(codes: DataFrame, ids: np.ndarray, queries: np.ndarray, centre:
         q_norm = np.sqrt((turned * turned).sum(1))
         best_d = np.full((len(ids), k), np.inf)
         best_i = np.full((len(ids), k), np.iinfo(np.int64).max)
-        root = np.sqrt(dim)
+        # one product gives the lower bounds: <query, code>, |x|^2 and the error, each with its scalar
+        left = np.concatenate([turned, np.ones((len(ids), 1)), q_norm[:, None]], axis=1).astype(np.float32)
         for whole in batches:
             for at in range(0, whole.num_rows, ROW_BLOCK):
                 b = whole.slice(at, ROW_BLOCK)
                 x, vec = _matrix(b["v"], dim), b["vec_id"].to_numpy(zero_copy_only=False)
                 norm, dot = b["norm"].to_numpy(), b["dot"].to_numpy()
                 bits = np.unpackbits(np.frombuffer(b"".join(b["code"].to_pylist()), np.uint8).reshape(len(vec), -1), axis=1)[:, :dim]
-                signs = (bits * np.float64(2) - 1) / root
                 # <q, direction> is about <q, code> / dot; the part of the code across the direction gives the error
                 error = norm * sigmas * np.sqrt(np.maximum(1 - dot * dot, 0)) / dot / np.sqrt(max(dim - 1, 1))
-                for lo in range(0, len(ids), 64):
-                    hi = min(lo + 64, len(ids))
-                    inner = (turned[lo:hi] @ signs.T) * (norm / dot)
-                    far = q_norm[lo:hi, None] ** 2 + norm**2 - 2 * inner
-                    slack = 2 * error * q_norm[lo:hi, None]
-                    own = ids[lo:hi, None] == vec
-                    # the best k by estimate first: they bring the bound down before the rest is looked at
-                    far[own] = np.inf
-                    limit = best_d[lo:hi, -1].copy()
-                    m = min(k, len(vec))
-                    first = np.argpartition(far, m - 1, axis=1)[:, :m]
-                    seen = np.zeros_like(own)
-                    np.put_along_axis(seen, first, True, axis=1)
-                    seen &= ~own
-                    qi, xi = np.nonzero(seen)
-                    _merge(best_d, best_i, lo, qi, distances(queries[lo + qi], x[xi]), vec[xi], k)
-                    limit = best_d[lo:hi, -1]
-                    with np.errstate(invalid="ignore"):
-                        again = (far - slack <= (limit * limit)[:, None] * (1 + 1e-12)) & ~seen & ~own
-                    qi, xi = np.nonzero(again)
-                    _merge(best_d, best_i, lo, qi, distances(queries[lo + qi], x[xi]), vec[xi], k)
+                right = np.concatenate([(bits * 2.0 - 1) * (-2 / np.sqrt(dim) * norm / dot)[:, None], (norm * norm)[:, None], -2 * error[:, None]], axis=1).astype(np.float32)
+                for lo in range(0, len(ids), QUERIES_AT_ONCE):
+                    low = left[lo : lo + QUERIES_AT_ONCE] @ right.T  # less |query|^2
+                    part = slice(lo, lo + len(low))
+                    m = min(k + 1, len(vec))
+                    if not np.isfinite(best_d[part, -1]).all():
+                        # nothing to hold against yet: the most promising first
+                        first = np.argpartition(low, m - 1, axis=1)[:, :m]
+                        _improve(best_d, best_i, queries, ids, np.repeat(np.arange(lo, lo + len(low)), m), x, vec, first.ravel(), k)
+                        np.put_along_axis(low, first, np.inf, axis=1)
+                    limit = best_d[part, -1] ** 2 - q_norm[part] ** 2
+                    near = low <= (limit + 1e-4 * (1 + q_norm[part] ** 2))[:, None]
+                    qi, xi = np.nonzero(near & np.isfinite(low))
+                    for s in range(0, len(qi), PAIRS_AT_ONCE):
+                        _improve(best_d, best_i, queries, ids, lo + qi[s : s + PAIRS_AT_ONCE], x, vec, xi[s : s + PAIRS_AT_ONCE], k)
         qi, ki = np.nonzero(np.isfinite(best_d))
         yield pa.RecordBatch.from_arrays([pa.array(ids[qi]), pa.array(best_i[qi, ki]), pa.array(best_d[qi, ki])], names=["query_id", "vec_id", "score"])
 
     return codes.select("vec_id", "v", "code", "norm", "dot").mapInArrow(run, "query_id long, vec_id long, score double")
 
 
-def _merge(best_d: np.ndarray, best_i: np.ndarray, lo: int, qi: np.ndarray, d: np.ndarray, vec: np.ndarray, k: int) -> None:
+def _improve(best_d: np.ndarray, best_i: np.ndarray, queries: np.ndarray, ids: np.ndarray, qi: np.ndarray, x: np.ndarray, vec: np.ndarray, xi: np.ndarray, k: int) -> None:
+    """Compare pairs by their original components; qi is sorted."""
+    d = queries[qi] - x[xi]
+    near = np.einsum("ij,ij->i", d, d) <= best_d[qi, -1] ** 2 * (1 + 1e-9)
+    near &= ids[qi] != vec[xi]
+    qi, xi = qi[near], xi[near]
+    if len(qi):
+        _merge(best_d, best_i, qi, distances(queries[qi], x[xi]), vec[xi], k)
+
+
+def _merge(best_d: np.ndarray, best_i: np.ndarray, qi: np.ndarray, d: np.ndarray, vec: np.ndarray, k: int) -> None:
     """Put the distances found into the k best, smaller vec_id first where they tie."""
     order = np.lexsort((vec, d, qi))
     qi, d, vec = qi[order], d[order], vec[order]
-    starts = np.flatnonzero(np.r_[True, qi[1:] != qi[:-1]]) if len(qi) else np.zeros(0, int)
-    for s, e in zip(starts, np.r_[starts[1:], len(qi)], strict=True):
-        row, e = lo + qi[s], min(e, s + k)
-        dd, ii = np.r_[best_d[row], d[s:e]], np.r_[best_i[row], vec[s:e]]
+    starts = np.flatnonzero(np.concatenate([[True], qi[1:] != qi[:-1]]))
+    for s, e in zip(starts, np.append(starts[1:], len(qi)), strict=True):
+        row, e = qi[s], min(e, s + k)
+        dd, ii = np.concatenate([best_d[row], d[s:e]]), np.concatenate([best_i[row], vec[s:e]])
         top = np.lexsort((ii, dd))[:k]
         best_d[row], best_i[row] = dd[top], ii[top]
 
@@ -140,8 +146,8 @@ def nearest(vectors: DataFrame, query_ids, k: int = 10, sigmas: float = SIGMAS,
     vectors has vec_id and embedding; query_ids is a condition on vec_id that picks the queries. A row is
     no candidate for its own vec_id. Out come query_id, rank (from 1), vec_id, score; ties go to the
     smaller vec_id. Vectors that are null, empty, zero or hold null or non-finite components, or are of
-    another length than most, take no part. If a vec_id repeats, its vectors are candidates as one,
-    the nearest; as a query the least of them counts. An empty table gives an empty result.
+    another length than most, take no part. Rows that repeat a vec_id are candidates one by one; as a
+    query the least of their vectors counts. An empty table gives an empty result.
 
     Queries go to the executors in blocks of about query_block vectors, whatever their number, and each
     block passes over all codes once.
@@ -166,6 +172,5 @@ def nearest(vectors: DataFrame, query_ids, k: int = 10, sigmas: float = SIGMAS,
             found = best if found is None else found.unionByName(best)
     if found is None:
         return empty
-    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
