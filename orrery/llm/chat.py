@@ -299,10 +299,10 @@ def fold(node: Any, filters: dict[str, Callable]) -> Any:
 
 
 class Sink:
-    """Takes the rendered pieces in order; turns them into rows of text with absolute spans of the mask."""
+    """Takes the rendered pieces in order, with absolute spans of the mask."""
 
-    def __init__(self, row: Callable[[str, list[tuple[int, int]]], None]):
-        self.row, self.parts, self.spans, self.at, self.open = row, [], [], 0, None
+    def __init__(self):
+        self.parts, self.spans, self.at, self.open = [], [], 0, None
 
     def write(self, text: str) -> None:
         self.parts.append(text)
@@ -318,10 +318,10 @@ class Sink:
             self.spans.append((self.open, self.at))
         self.open = None
 
-    def flush(self) -> None:
-        """One row of output; not inside a generation block, which stays whole."""
+    def take(self) -> Iterator[tuple[str, list[tuple[int, int]]]]:
+        """What is ready; nothing inside a generation block, which stays whole."""
         if self.open is None and self.parts:
-            self.row("".join(self.parts), self.spans)
+            yield "".join(self.parts), self.spans
             self.parts, self.spans = [], []
 
 
@@ -345,20 +345,32 @@ def _expression(node: Any, filters: dict[str, Callable]) -> Callable[[dict], Any
     return lambda env: f(*(a(env) for a in args))
 
 
-def _statement(node: Any, filters: dict[str, Callable]) -> Callable[[dict, Sink], None]:
+def _statement(node: Any, filters: dict[str, Callable]) -> Callable[[dict, Sink], Iterator[None]]:
+    """A generator that writes to the sink and stops after each round of a loop, so that the caller
+    can take what is ready before more messages are read."""
     if isinstance(node, tuple):
         body = [_statement(x, filters) for x in node]
 
         def run(env, sink):
             for x in body:
-                x(env, sink)
+                yield from x(env, sink)
 
         return run
     if isinstance(node, Text):
-        return lambda env, sink, t=node.text: sink.write(t)
+
+        def text(env, sink, t=node.text):
+            sink.write(t)
+            return ()
+
+        return text
     if isinstance(node, Output):
         e = _expression(node.expr, filters)
-        return lambda env, sink: sink.write(_text(e(env)))
+
+        def output(env, sink):
+            sink.write(_text(e(env)))
+            return ()
+
+        return output
     if isinstance(node, If):
         test, then, other = _expression(node.test, filters), _statement(node.then, filters), _statement(node.other, filters)
         return lambda env, sink: (then if test(env) else other)(env, sink)
@@ -367,7 +379,7 @@ def _statement(node: Any, filters: dict[str, Callable]) -> Callable[[dict, Sink]
 
         def mark(env, sink):
             sink.begin()
-            body(env, sink)
+            yield from body(env, sink)
             sink.end()
 
         return mark
@@ -378,8 +390,8 @@ def _statement(node: Any, filters: dict[str, Callable]) -> Callable[[dict, Sink]
         here, i = next(it, loop), 0
         while here is not loop:
             after = next(it, loop)
-            body(env | {var: here, "loop": {"index0": i, "first": i == 0, "last": after is loop}}, sink)
-            sink.flush()
+            yield from body(env | {var: here, "loop": {"index0": i, "first": i == 0, "last": after is loop}}, sink)
+            yield
             here, i = after, i + 1
 
     return loop
@@ -397,16 +409,16 @@ class Template:
         self.tree = fold(parse(source), filters)
         self.run = _statement(self.tree, filters)
 
-    def stream(self, messages: Iterable[dict], row: Callable[[str, list[tuple[int, int]]], None]) -> None:
-        """Render message by message; row gets each message's text and its spans under the mask."""
-        sink = Sink(row)
-        self.run({"messages": messages}, sink)
-        sink.flush()
+    def stream(self, messages: Iterable[dict]) -> Iterator[tuple[str, list[tuple[int, int]]]]:
+        """Render message by message: each message's text and its spans under the mask."""
+        sink = Sink()
+        for _ in self.run({"messages": messages}, sink):
+            yield from sink.take()
+        yield from sink.take()
 
     def render(self, messages: Iterable[dict]) -> tuple[str, list[tuple[int, int]]]:
         """The whole text, and the spans (code points) under the generation mask."""
-        rows: list = []
-        self.stream(messages, lambda *r: rows.append(r))
+        rows = list(self.stream(messages))
         return "".join(r[0] for r in rows), [s for r in rows for s in r[1]]
 
 
@@ -442,9 +454,8 @@ def format_conversations(conversations: DataFrame, source: str = TURNS, controls
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         template = Template(source, controls)
         rows = (r for b in batches for r in zip(b["conv_id"].to_pylist(), b["role"].to_pylist(), b["text"].to_pylist(), strict=True))
-        for conv, out in _groups(rows):
-            # the template pulls messages from a generator, so a part is ready before the next is read
-            yield from _batches(conv, template, ({"role": r, "text": t} for _, r, t in out))
+        parts = ((conv, n, text, spans) for conv, out in _groups(rows) for n, (text, spans) in enumerate(template.stream({"role": r, "text": t} for _, r, t in out)))
+        yield from _batches(parts)
 
     return rows.mapInArrow(run, FORMATTED)
 
@@ -455,33 +466,24 @@ def _groups(rows: Iterator[tuple]) -> Iterator[tuple[Any, Iterator[tuple]]]:
     return groupby(rows, key=lambda r: r[0])
 
 
-def _batches(conv: Any, template: Template, messages: Iterable[dict], size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """The parts of one conversation. The closures push, Arrow pulls: parts are rendered in bites of
-    about `size` characters, the messages being taken as the bites need them."""
-    parts: list[tuple[str, list[tuple[int, int]]]] = []
-    done: list[pa.RecordBatch] = []
-    n = [0, 0]
-
-    def row(text: str, spans: list[tuple[int, int]]) -> None:
-        parts.append((text, spans))
-        n[1] += len(text)
-        if n[1] >= size:
-            close()
-
-    def close() -> None:
-        done.append(
-            pa.RecordBatch.from_arrays(
-                [pa.array([conv] * len(parts), pa.int64()), pa.array(range(n[0], n[0] + len(parts)), pa.int64()), pa.array([p[0] for p in parts], pa.string()), pa.array([[s for s, _ in p[1]] for p in parts], pa.list_(pa.int64())), pa.array([[e for _, e in p[1]] for p in parts], pa.list_(pa.int64()))],
-                names=["conv_id", "part", "formatted", "starts", "ends"],
-            )
-        )
-        n[0], n[1] = n[0] + len(parts), 0
-        parts.clear()
-
-    template.stream(messages, row)
-    if parts:
-        close()
-    return iter(done)
+def _batches(parts: Iterator[tuple], size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of about `size` characters; messages are read as the batches need them."""
+    held: list[tuple] = []
+    chars = 0
+
+    def close() -> pa.RecordBatch:
+        conv, n, text, spans = zip(*held, strict=True)
+        ends = [pa.array([[s[i] for s in x] for x in spans], pa.list_(pa.int64())) for i in range(2)]
+        return pa.RecordBatch.from_arrays([pa.array(conv, pa.int64()), pa.array(n, pa.int64()), pa.array(text, pa.string()), *ends], names=["conv_id", "part", "formatted", "starts", "ends"])
+
+    for part in parts:
+        held.append(part)
+        chars += len(part[2])
+        if chars >= size or len(held) >= 10_000:
+            yield close()
+            held, chars = [], 0
+    if held:
+        yield close()
 
 
 _MARKS = re.compile(r"\\(.)|(<turn>)|(</role>(?:### Assistant:)?)|(</turn>\n)|([^\\<]+|<)", re.S)
