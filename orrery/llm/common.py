@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The white space that separates words, here and in the SQL twins: U+0020 and U+0009 to U+000D.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -35,15 +36,25 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop(df: DataFrame) -> None:
-    """Delete the files of a table made by materialize() which no later result reads."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now, not when the driver next happens to
+    collect its garbage; they would else lie beside those of the next steps."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
-def texts(column: pa.Array) -> list[bytes]:
-    """The UTF-8 bytes of a string column; null counts as empty."""
-    return [x or b"" for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
+#: Bits of the filters of only_present(): 512 KB, whatever the number of keys.
+FILTER_BITS = 1 << 22
+
+
+def only_present(rows: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
+    """The rows whose key may be among keys (a table of one column), and all of those whose key is.
+
+    The filter that is broadcast has a fixed size. It spares rows the shuffle of a join that follows;
+    where the keys are so many that it is full, it lets more rows through, and none fewer.
+    """
+    slot = lambda k: F.pmod(F.xxhash64(k), F.lit(FILTER_BITS))
+    pages = keys.select(slot(F.col(keys.columns[0])).alias("_slot")).groupBy(F.bitmap_bucket_number("_slot").alias("_page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_slot")).alias("_bits"))
+    out = rows.withColumn("_slot", slot(key)).withColumn("_page", F.bitmap_bucket_number("_slot")).withColumn("_bit", F.bitmap_bit_position("_slot"))
+    byte = F.expr("cast(conv(hex(substring(_bits, cast(_bit div 8 as int) + 1, 1)), 16, 10) as int)")
+    return out.join(F.broadcast(pages), "_page").filter(F.getbit(byte, F.pmod("_bit", F.lit(8)).cast("int")) == 1).select(*rows.columns)

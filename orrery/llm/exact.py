@@ -12,12 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from .common import SPACE_CLASS, fresh_path, materialize
-
-#: Bits of the filter that picks the rows whose bytes are compared; its 512 KB never grow. Where it
-#: is full, more rows are compared than need be, none fewer.
-FILTER_BITS = 1 << 22
-_PAGE = 32768  # bits of one bitmap of Spark's bitmap_* functions
+from .common import SPACE_CLASS, fresh_path, materialize, only_present
 
 _ROCKS = "spark.sql.streaming.stateStore.rocksdb"
 #: The state store: on disk, with its changes in the shared folder instead of whole snapshots each
@@ -88,13 +83,8 @@ def differing(docs: DataFrame, held: DataFrame, digest=sha256_digest) -> DataFra
     combined in each task before the shuffle, so copies don't travel; the two are equal only if all
     bytes of all texts are.
     """
-    slot = lambda d: F.pmod(F.xxhash64(d), F.lit(FILTER_BITS))
-    hits = held.filter("group_size > 1").select(slot(F.col("digest")).alias("slot"))
-    pages = hits.groupBy(F.bitmap_bucket_number("slot").alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
-    rows = docs.select(normalised(F.col("text")).alias("norm")).select("norm", digest(F.col("norm")).alias("digest")).withColumn("slot", slot(F.col("digest")))
-    rows = rows.withColumn("page", F.bitmap_bucket_number("slot")).withColumn("bit", F.bitmap_bit_position("slot"))
-    byte = F.expr("cast(conv(hex(substring(bits, cast(bit div 8 as int) + 1, 1)), 16, 10) as int)")
-    rows = rows.join(F.broadcast(pages), "page").filter(F.getbit(byte, F.pmod("bit", F.lit(8)).cast("int")) == 1)
+    rows = docs.select(normalised(F.col("text")).alias("norm")).select("norm", digest(F.col("norm")).alias("digest"))
+    rows = only_present(rows, F.col("digest"), held.filter("group_size > 1").select("digest"))
     return rows.groupBy("digest").agg(F.min("norm").alias("least"), F.max("norm").alias("most")).filter("least <> most").select("digest")
 
 

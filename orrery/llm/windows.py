@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release
 
 #: Bytes of text whose anchors one reducer gets, and bytes and units hashed at once.
 BUCKET_BYTES = 8 << 20
@@ -398,12 +398,11 @@ def spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def repeats(docs: DataFrame, frame: Frame) -> DataFrame:
     """(row, doc_id, text, gone): each row of docs with its packed spans of repeated windows, or null."""
-    spark = docs.sparkSession
     rows = numbered(docs)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, -(-total // BUCKET_BYTES))
-    hits = _per_row(repeated(anchors(rows, frame, buckets), buckets), [np.int64, np.int64, np.uint32, np.uint32, np.uint8], "hits")
+    hits = materialize(_per_row(repeated(anchors(rows, frame, buckets), buckets), [np.int64, np.int64, np.uint32, np.uint32, np.uint8], "hits"), "window-hits")
+    release(docs.sparkSession)
     gone = materialize(_per_row(verdicts(contexts(rows, hits, frame), frame, buckets), [np.int64, np.int64, np.int64], "gone"), "window-spans")
-    del hits
-    spark.sparkContext._jvm.System.gc()  # the shuffles above aren't needed any more; their files go with them
+    release(docs.sparkSession)
     return rows.join(gone, F.col("row") == F.col("row_"), "left").select("row", "doc_id", "text", "gone")
