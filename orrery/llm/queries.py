@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, exact, graph, mix, suffixes
+from . import ann, bpe, chat, exact, graph, language, mix, near, quality, suffixes
 from .common import SPACE_CLASS, WORD_PATTERN
 
 
@@ -48,7 +48,19 @@ def op8_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 100 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_suffix_dedup, op3_exact_dedup, op4_byte_bpe, op5_source_mixing, op6_debruijn_dedup, op8_nearest_vectors)}
+def op7_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(_table(spark, sf_dir, "documents", "doc_id", "text"), _table(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(_table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_duplicates(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_suffix_dedup, op3_exact_dedup, op4_byte_bpe, op5_source_mixing, op6_debruijn_dedup, op7_quality_scores, op8_nearest_vectors, op9_language_id, op10_near_dedup)}
 
 _ESCAPED = "replace(replace(replace(replace(replace({0}, '\\', '\\\\'), '<turn>', '\\<turn>'), '</role>', '\\</role>'), '</turn>', '\\</turn>'), '### Assistant:', '\\### Assistant:')"
 
