@@ -60,7 +60,13 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_suffix_dedup, op3_exact_dedup, op4_byte_bpe, op5_source_mixing, op6_debruijn_dedup, op7_quality_scores, op8_nearest_vectors, op9_language_id, op10_near_dedup)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_suffix_dedup, op3_exact_dedup, op4_byte_bpe, op5_source_mixing, op6_debruijn_dedup, op7_quality_scores, op8_nearest_vectors, op9_language_id, op10_near_dedup, pipeline)}
 
 _ESCAPED = "replace(replace(replace(replace(replace({0}, '\\', '\\\\'), '<turn>', '\\<turn>'), '</role>', '\\</role>'), '</turn>', '\\</turn>'), '### Assistant:', '\\### Assistant:')"
 

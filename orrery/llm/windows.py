@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release
+from .common import discard, materialize, release
 
 #: Bytes of text whose anchors one reducer gets, and bytes and units hashed at once.
 BUCKET_BYTES = 8 << 20
@@ -404,5 +404,6 @@ def repeats(docs: DataFrame, frame: Frame) -> DataFrame:
     hits = materialize(_per_row(repeated(anchors(rows, frame, buckets), buckets), [np.int64, np.int64, np.uint32, np.uint32, np.uint8], "hits"), "window-hits")
     release(docs.sparkSession)
     gone = materialize(_per_row(verdicts(contexts(rows, hits, frame), frame, buckets), [np.int64, np.int64, np.int64], "gone"), "window-spans")
+    discard(hits)
     release(docs.sparkSession)
     return rows.join(gone, F.col("row") == F.col("row_"), "left").select("row", "doc_id", "text", "gone")
