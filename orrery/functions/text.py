@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 #: Code points with the Unicode property White_Space.
-WHITE_SPACE = r"\u0009-\u000D \u0085   -     　"
+WHITE_SPACE = r"\u0009-\u000D\u0020\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 _WHITE = re.compile(f"[{WHITE_SPACE}]")
 
 
@@ -52,7 +52,7 @@ def _normalized(s: pd.Series) -> pd.Series:
 #: Letters that NFKC leaves alone and no variant concerns: Latin-1 and Latin Extended-A without the
 #: compatibility characters in them, plain punctuation, Greek and Cyrillic basics. Dotted capital I
 #: and final sigma are left out, whose lower case depends on the library or the neighbours.
-_STABLE = r"^[\x00-\x7F¡-§©«-¬®°-±¶»¿-įĴ-ľŁ-ňŊ-ž‐‒-‖‘-‟†-•€А-я]*$"
+_STABLE = r"^[\u0000-\u007F\u00A1-\u00A7\u00A9\u00AB-\u00AE\u00B0\u00B1\u00B6\u00B7\u00BB\u00BF-\u012F\u0134-\u013E\u0141-\u0148\u014A-\u017E\u2010\u2012-\u2016\u2018-\u2023\u0410-\u044F]*$"
 
 
 def normalized(c: Column, stable_only: bool = False) -> Column:
