@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import pandas as pd
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -49,19 +49,24 @@ def _normalized(s: pd.Series) -> pd.Series:
     return s.map(normalize_text, na_action="ignore")
 
 
-#: Letters that NFKC leaves alone and no variant concerns: Latin-1 and Latin Extended-A without the
-#: compatibility characters in them, plain punctuation, Greek and Cyrillic basics. Dotted capital I
-#: and final sigma are left out, whose lower case depends on the library or the neighbours.
-_STABLE = r"^[\u0000-\u007F\u00A1-\u00A7\u00A9\u00AB-\u00AE\u00B0\u00B1\u00B6\u00B7\u00BB\u00BF-\u012F\u0134-\u013E\u0141-\u0148\u014A-\u017E\u2010\u2012-\u2016\u2018-\u2023\u0410-\u044F]*$"
+#: White space of ASCII, which is all that a text of ASCII can have.
+_ASCII_WHITE = " \n\t\r\x0b\x0c"
 
 
-def normalized(c: Column, stable_only: bool = False) -> Column:
-    """normalize_text() of a column. Texts of letters that the Unicode steps leave alone are done by
-    the JVM; only the others are sent to Python. stable_only promises that there are no others."""
-    native = F.regexp_replace(F.lower(c), f"[{WHITE_SPACE}]", "")
-    if stable_only:
-        return native
-    return F.when(c.rlike(_STABLE), native).otherwise(_normalized(F.when(~c.rlike(_STABLE), c)))
+def normalized(c: Column) -> Column:
+    """normalize_text() of a column. Texts of ASCII, as their byte count tells, are done by the JVM;
+    only the others are sent to Python."""
+    ascii_ = F.length(c) == F.octet_length(c)
+    native = reduce(lambda x, w: F.replace(x, F.lit(w), F.lit("")), _ASCII_WHITE, F.lower(c))
+    return F.when(ascii_, native).otherwise(_normalized(F.when(~ascii_, c)))
+
+
+def computed_once(table: DataFrame, **columns: Column) -> DataFrame:
+    """table with more columns that later filters can't copy into each of their terms: each is made by
+    a generator of one row, which costs no shuffle."""
+    for name, c in columns.items():
+        table = table.select("*", F.explode(F.array(c)).alias(name))
+    return table
 
 
 def trim_white(c: Column) -> Column:

@@ -34,7 +34,7 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "documents").select("doc_id", fn.normalized(F.col("text")).alias("norm"))
+    return fn.computed_once(_read(spark, sf_dir, "documents").select("doc_id", "text"), norm=fn.normalized(F.col("text"))).drop("text")
 
 
 def _selected(spark: SparkSession, sf_dir: str, filters=(), bans=(), **more) -> DataFrame:
@@ -93,7 +93,7 @@ def select_by_sets(spark, sf_dir):
 
 @query("SELECT DISTINCT p_partkey FROM (SELECT p_partkey, " + _NORM.replace("text", "p_name") + " AS norm FROM part) WHERE contains(norm, 'ring') AND NOT contains(norm, 'red')")
 def select_by_postings(spark, sf_dir):
-    parts = _read(spark, sf_dir, "part").select("p_partkey", fn.normalized(F.col("p_name")).alias("norm"))
+    parts = fn.computed_once(_read(spark, sf_dir, "part").select("p_partkey", "p_name"), norm=fn.normalized(F.col("p_name"))).drop("p_name")
     return postings.select(parts, postings.build(parts, "norm", "p_partkey"), ["ring"], ["red"], "norm", "p_partkey").select("p_partkey")
 
 
