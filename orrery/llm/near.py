@@ -59,12 +59,17 @@ def elements(text: bytes) -> np.ndarray:
     return out
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Weighted Jaccard similarity of two texts by their elements; 0 if either has none."""
+def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
+    """Weighted Jaccard similarity of two texts by their elements; 0 if either has none. Where the
+    numbers of elements alone rule `least` out, their ratio comes back, which is no less."""
     if not len(a) or not len(b):
         return 0.0
-    if min(len(a), len(b)) < SIMILARITY * max(len(a), len(b)) - 1:
-        return min(len(a), len(b)) / max(len(a), len(b))  # an upper bound, under the limit as it is
+    if min(len(a), len(b)) < least * max(len(a), len(b)) - 1:
+        return min(len(a), len(b)) / max(len(a), len(b))
+    return similarity_exact(a, b)
+
+
+def similarity_exact(a: np.ndarray, b: np.ndarray) -> float:
     both = np.concatenate([a, b])
     both.sort(kind="stable")
     shared = int((both[1:] == both[:-1]).sum())
@@ -172,7 +177,7 @@ def alike(pairs: DataFrame, rows: DataFrame, least: float) -> DataFrame:
                 for a, text_a, text_b in zip(b["a"].to_pylist(), b["text_a"].cast(pa.binary()), b["text_b"].cast(pa.binary()), strict=True):
                     if a != at:
                         at, own = a, elements(text_a.as_py())
-                    keep.append(similarity(own, elements(text_b.as_py())) >= least)
+                    keep.append(similarity(own, elements(text_b.as_py()), least) >= least)
                 yield pa.RecordBatch.from_arrays([b["a"], b["b"]], names=["a", "b"]).filter(pa.array(keep))
 
     return first.mapInArrow(run, "a long, b long")
