@@ -2,20 +2,25 @@
 
 Nodes are 12 words in a row, edges are 13. Edges are dealt by their anchors (windows.py), as
 minimiser-partitioned assemblers do. Within a partition, words and then grams get exact names, so an
-edge is a pair of node names, and a run of edges along a text that all the same documents share is one
-local path. Paths whose ends meet are glued through joins on the documents' coordinates into maximal
-spans.
+edge is a pair of node names; edges one after the other with the same least document make a local path.
+Paths are then compacted across partitions by joins: where one path alone ends in a node and one alone
+starts there, they are linked, and links are followed by pointer doubling. The places of a compacted
+path in a document are joined to one span if the coordinates say that no edge between is missing, and
+kept apart if not.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import windows
+from .common import discard, materialize, release
 
 WINDOW, GRAM = 13, 4
 
@@ -63,6 +68,83 @@ def edge_classes(contexts: list[bytes], counts: np.ndarray, window: int) -> np.n
 FRAME = windows.Frame(WINDOW, GRAM, True, edge_classes)
 
 
+LOCAL = "path long, row_ long, start long, end long, head long, tail long, least long"
+
+
+def _hash(words: list[bytes]) -> int:
+    return int.from_bytes(hashlib.blake2b(b" ".join(words), digest_size=8).digest(), "little", signed=True)
+
+
+def local_paths(packed: DataFrame, frame: windows.Frame) -> DataFrame:
+    """Two kinds of rows in one table, written by one task and so of one mind. Places, with row_: where
+    a document loses a path. Paths, with head and tail, the hashes of their end nodes: end is the number
+    of edges."""
+
+    def run(table):
+        f = windows.judge(table["blob"].to_pylist(), frame)
+        node = frame.window - 1
+        words = [t.split(b" ") for t in f.text]
+        own = [w[a : a + n + node] for w, a, n in zip(words, f.first.tolist(), f.count.tolist(), strict=True)]
+        path = np.array([_hash(w) for w in own], np.int64)
+        head = np.array([_hash(w[:node]) for w in own], np.int64)
+        tail = np.array([_hash(w[-node:]) for w in own], np.int64)
+        none = lambda n: pa.nulls(n, pa.int64())
+        places = [pa.array(path[f.run]), pa.array(f.row), pa.array(f.start), pa.array(f.end), *(none(len(f.row)) for _ in range(3))]
+        paths = [pa.array(path), none(len(path)), none(len(path)), pa.array(f.count), pa.array(head), pa.array(tail), pa.array(f.least)]
+        names = [x.split()[0] for x in LOCAL.split(", ")]
+        return pa.concat_tables([pa.table(c, names=names) for c in (places, paths)])
+
+    return packed.groupBy("bucket").applyInArrow(run, LOCAL)
+
+
+def compacted(paths: DataFrame) -> DataFrame:
+    """(path, unitig, offset): the path each path was compacted into, by that one's first part, and
+    the edges before it there. paths: (path, head, tail, n, least)."""
+    alone = lambda end, name: paths.groupBy(end, "least").agg(F.count("*").alias("_n"), F.min("path").alias(name)).filter("_n = 1").drop("_n")
+    links = alone("tail", "before").withColumnRenamed("tail", "node").join(alone("head", "path").withColumnRenamed("head", "node"), ["node", "least"]).filter("before <> path").select("path", "before")
+    sizes = paths.select(F.col("path").alias("before"), F.col("n").alias("size"))
+    start = paths.select("path").join(links, "path", "left").join(sizes, "before", "left")
+    state = materialize(start.select("path", F.coalesce("before", "path").alias("unitig"), F.coalesce("size", F.lit(0)).cast("long").alias("offset")), "graph-links")
+    # a chain of m paths is followed in log2(m) rounds; what is still moving after that goes round in a ring
+    for _ in range(max(state.count(), 2).bit_length() + 1):
+        ahead = state.select(F.col("path").alias("unitig"), F.col("unitig").alias("_to"), F.col("offset").alias("_more"))
+        moved = materialize(state.join(ahead, "unitig").select("path", F.col("_to").alias("unitig"), (F.col("offset") + F.col("_more")).alias("offset"), (F.col("_to") != F.col("unitig")).alias("moving")), "graph-links")
+        discard(state)
+        state = moved.drop("moving")
+        if moved.filter("moving").isEmpty():
+            return state
+    roots = state.filter("path = unitig").select("unitig")
+    ring = state.join(roots, "unitig", "left_anti").select("path", F.col("path").alias("unitig"), F.lit(0).cast("long").alias("offset"))
+    return state.join(roots, "unitig", "left_semi").select("path", "unitig", "offset").unionByName(ring)
+
+
+def joined_places(places: DataFrame, units: DataFrame, window: int) -> DataFrame:
+    """(row_, start, end): places of one compacted path at one diagonal of a document as one span, if
+    their edges add up to it; else the places themselves."""
+    on = places.join(units, "path").select("row_", "unitig", (F.col("start") - F.col("offset")).alias("diagonal"), "start", "end")
+    spans = on.groupBy("row_", "unitig", "diagonal").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum(F.col("end") - F.col("start") - (window - 1)).alias("edges"))
+    whole = F.col("edges") == F.col("end") - F.col("start") - (window - 1)
+    broken = spans.filter(~whole).select("row_", "unitig", "diagonal")
+    return spans.filter(whole).select("row_", "start", "end").unionByName(on.join(broken, ["row_", "unitig", "diagonal"], "left_semi").select("row_", "start", "end"))
+
+
+def repeated_spans(docs: DataFrame, frame: windows.Frame) -> tuple[DataFrame, DataFrame]:
+    """The numbered rows, and (row_, gone): the spans, sorted by start, that each row loses."""
+    rows, packed, hits, _ = windows.narrowed(docs, frame)
+    found = materialize(local_paths(packed, frame), "graph-local")
+    del packed
+    discard(hits)
+    release(docs.sparkSession)
+    paths = found.filter("head is not null").select("path", "head", "tail", F.col("end").alias("n"), "least").dropDuplicates(["path", "least"])
+    units = compacted(materialize(paths, "graph-paths"))
+    places = found.filter("row_ is not null").select("path", "row_", "start", "end")
+    spans = joined_places(places, units.dropDuplicates(["path"]), frame.window)
+    gone = materialize(spans.groupBy("row_").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("gone")), "graph-spans")
+    discard(found)
+    release(docs.sparkSession)
+    return rows, gone
+
+
 def remove_repeated_words(docs: DataFrame, frame: windows.Frame = FRAME) -> DataFrame:
     """Texts without the words of windows that also start in a document with a smaller doc_id.
 
@@ -83,10 +165,12 @@ def remove_repeated_words(docs: DataFrame, frame: windows.Frame = FRAME) -> Data
                     if gone is None:
                         out.append((doc, len(words), 0, b" ".join(words)))
                         continue
-                    s, e = windows.spans(*windows.unpack(gone, np.int64, np.int64)[:2])
+                    s, e = windows.spans(np.array([g["start"] for g in gone]), np.array([g["end"] for g in gone]))
                     kept = [w for x, y in zip([0, *e.tolist()], [*s.tolist(), len(words)], strict=True) for w in words[x:y]]
                     out.append((doc, len(words), len(words) - len(kept), b" ".join(kept)))
                 types = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["doc_id", "n_words", "n_removed", "kept"])
 
-    return windows.repeats(docs, frame).select("doc_id", "text", "gone").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept binary")
+    rows, gone = repeated_spans(docs, frame)
+    joined = rows.join(gone, F.col("row") == F.col("row_"), "left")
+    return joined.select("doc_id", "text", "gone").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept binary")

@@ -336,14 +336,29 @@ def verdicts(packed: DataFrame, frame: Frame, row_buckets: int) -> DataFrame:
     """(row, first unit, unit after the last) of what smaller documents have too, dealt by document."""
 
     def run(table):
-        row, start, end = judge(table["blob"].to_pylist(), frame)
-        make = lambda i: pack(row=row[i], start=start[i], end=end[i])
-        return pa.Table.from_batches([_packed(["bucket", "blob"], list(_by_bucket(_deal(row, row_buckets), make)))])
+        found = judge(table["blob"].to_pylist(), frame)
+        make = lambda i: pack(row=found.row[i], start=found.start[i], end=found.end[i])
+        return pa.Table.from_batches([_packed(["bucket", "blob"], list(_by_bucket(_deal(found.row, row_buckets), make)))])
 
     return packed.groupBy("bucket").applyInArrow(run, PACKED)
 
 
-def judge(blobs: list[bytes], frame: Frame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+@dataclass(frozen=True)
+class Runs:
+    """What a reducer finds. For each entry that loses windows: row, start, end (units), run. For each
+    such run: the text it lies in, its first window there, its windows, the least document that has it."""
+
+    row: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    run: np.ndarray
+    text: list[bytes]
+    first: np.ndarray
+    count: np.ndarray
+    least: np.ndarray
+
+
+def judge(blobs: list[bytes], frame: Frame) -> Runs:
     known: dict[bytes, int] = {}
     cols: list[list[np.ndarray]] = []
     for blob in blobs:
@@ -374,19 +389,23 @@ def judge(blobs: list[bytes], frame: Frame) -> tuple[np.ndarray, np.ndarray, np.
         best = np.full(classes.max() + 1, np.iinfo(np.int64).max)
         np.minimum.at(best, classes, per_window[where])
         per_window[where] = best[classes]
-    # runs of windows that a smaller document has, entry by entry
+    # a run: windows of one context, one after the other, that have the same least document
+    of = np.repeat(np.arange(n), n_windows)
+    new = np.concatenate([[True], (of[1:] != of[:-1]) | (per_window[1:] != per_window[:-1])])
+    run_at, run_of = np.flatnonzero(new), np.cumsum(new) - 1
+    # the runs that a smaller document has, entry by entry
     entry = np.repeat(np.arange(len(row)), count)
-    inside = np.arange(len(entry)) - np.repeat(np.cumsum(count) - count, count)
-    gone = per_window[first[context[entry]] + inside] < doc[entry]
-    entry, inside = entry[gone], inside[gone]
-    if not len(entry):
-        none = np.zeros(0, np.int64)
-        return none, none, none
-    new = np.flatnonzero(np.concatenate([[True], (entry[1:] != entry[:-1]) | (inside[1:] != inside[:-1] + 1)]))
-    last = np.append(new[1:], len(entry)) - 1
-    row, start, end = row[entry[new]], at[entry[new]] + inside[new], at[entry[new]] + inside[last] + frame.window
-    order = np.lexsort((start, row))
-    return row[order], start[order], end[order]
+    window = first[context[entry]] + np.arange(len(entry)) - np.repeat(np.cumsum(count) - count, count)
+    lost = new[window] & (per_window[window] < doc[entry])
+    entry, window = entry[lost], window[lost]
+    run = run_of[window]
+    used, run = np.unique(run, return_inverse=True)
+    length = np.diff(np.append(run_at, len(of)))[used]
+    start = at[entry] + window - first[context[entry]]
+    end = start + length[run] + frame.window - 1
+    order = np.lexsort((start, row[entry]))
+    head = run_at[used]
+    return Runs(row[entry][order], start[order], end[order], run[order], [texts[j] for j in of[head]], head - first[of[head]], length, per_window[head])
 
 
 def spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -396,14 +415,22 @@ def spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return starts[new], reach[np.append(new[1:], len(starts)) - 1]
 
 
-def repeats(docs: DataFrame, frame: Frame) -> DataFrame:
-    """(row, doc_id, text, gone): each row of docs with its packed spans of repeated windows, or null."""
+def narrowed(docs: DataFrame, frame: Frame) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """The numbered rows, the packed contexts of windows that may repeat, the table of their places
+    (to be discarded after use), and the number of buckets."""
     rows = numbered(docs)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, -(-total // BUCKET_BYTES))
     hits = materialize(_per_row(repeated(anchors(rows, frame, buckets), buckets), [np.int64, np.int64, np.uint32, np.uint32, np.uint8], "hits"), "window-hits")
     release(docs.sparkSession)
-    gone = materialize(_per_row(verdicts(contexts(rows, hits, frame), frame, buckets), [np.int64, np.int64, np.int64], "gone"), "window-spans")
+    return rows, contexts(rows, hits, frame), hits, buckets
+
+
+def repeats(docs: DataFrame, frame: Frame) -> DataFrame:
+    """(row, doc_id, text, gone): each row of docs with its packed spans of repeated windows, or null."""
+    rows, packed, hits, buckets = narrowed(docs, frame)
+    gone = materialize(_per_row(verdicts(packed, frame, buckets), [np.int64, np.int64, np.int64], "gone"), "window-spans")
+    del packed
     discard(hits)
     release(docs.sparkSession)
     return rows.join(gone, F.col("row") == F.col("row_"), "left").select("row", "doc_id", "text", "gone")

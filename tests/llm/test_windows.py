@@ -95,3 +95,26 @@ def test_op2_on_the_table(spark):
     rows = [(r.doc_id, (r.text or "").encode()) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = sorted([tuple(r) for r in queries.op2_suffix_dedup(spark, sf).collect()], key=str)
     assert got == brute(rows, lambda b: [b[i : i + 1] for i in range(len(b))], 50, b"".join)
+
+
+def test_paths_are_compacted(spark):
+    """One long passage in three documents becomes one span in each later one, over many anchors."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    passage = [word() for _ in range(300)]
+    rows = [(d, " ".join([word() for _ in range(20)] + passage + [word() for _ in range(20)])) for d in range(3)]
+    _, packed, _, _ = windows.narrowed(spark.createDataFrame(rows, "doc_id long, text string"), graph.FRAME)
+    found = graph.local_paths(packed, graph.FRAME).cache()
+    paths = found.filter("head is not null").selectExpr("path", "head", "tail", "end n", "least")
+    units = graph.compacted(paths)
+    assert paths.count() > 20 and units.select("unitig").distinct().count() == 1
+    spans = graph.joined_places(found.filter("row_ is not null").select("path", "row_", "start", "end"), units, 13)
+    assert sorted((r.row_ >> windows.ROW_BITS, r.start, r.end) for r in spans.collect()) == [(1, 20, 320), (2, 20, 320)]
+
+
+def test_rings_and_gaps(spark):
+    ring = spark.createDataFrame([(1, 10, 11, 2, 0), (2, 11, 10, 3, 0), (3, 20, 21, 4, 0), (4, 21, 22, 5, 0)], "path long, head long, tail long, n long, least long")
+    units = graph.compacted(ring)
+    assert sorted(map(tuple, units.select("path", "unitig", "offset").collect())) == [(1, 1, 0), (2, 2, 0), (3, 3, 0), (4, 3, 4)]
+    places = spark.createDataFrame([(3, 7, 0, 16), (4, 7, 4, 21), (3, 8, 5, 21), (4, 8, 90, 107)], "path long, row_ long, start long, end long")
+    assert sorted(map(tuple, graph.joined_places(places, units, 13).collect())) == [(7, 0, 21), (8, 5, 21), (8, 90, 107)]
