@@ -135,10 +135,10 @@ def repeated_spans(docs: DataFrame, frame: windows.Frame) -> tuple[DataFrame, Da
     del packed
     discard(hits)
     release(docs.sparkSession)
-    paths = found.filter("head is not null").select("path", "head", "tail", F.col("end").alias("n"), "least").dropDuplicates(["path", "least"])
+    paths = found.filter("head is not null").select("path", "head", "tail", F.col("end").alias("n"), "least").dropDuplicates(["path"])
     units = compacted(materialize(paths, "graph-paths"))
     places = found.filter("row_ is not null").select("path", "row_", "start", "end")
-    spans = joined_places(places, units.dropDuplicates(["path"]), frame.window)
+    spans = joined_places(places, units, frame.window)
     gone = materialize(spans.groupBy("row_").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("gone")), "graph-spans")
     discard(found)
     release(docs.sparkSession)
