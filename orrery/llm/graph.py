@@ -112,7 +112,8 @@ def compacted(paths: DataFrame) -> DataFrame:
         discard(state)
         state = moved.drop("moving")
         if moved.filter("moving").isEmpty():
-            return state
+            # in a ring of 2, 4 or 8 each path ends up at itself, a whole round on
+            return state.withColumn("offset", F.when(F.col("path") == F.col("unitig"), F.lit(0).cast("long")).otherwise(F.col("offset")))
     roots = state.filter("path = unitig").select("unitig")
     ring = state.join(roots, "unitig", "left_anti").select("path", F.col("path").alias("unitig"), F.lit(0).cast("long").alias("offset"))
     return state.join(roots, "unitig", "left_semi").select("path", "unitig", "offset").unionByName(ring)
