@@ -7,8 +7,10 @@ earliest dart of each coordinate is the signature, and two texts agree in a coor
 probability of their weighted Jaccard similarity. Only about k ln k darts are thrown for a text,
 whatever its length.
 
-Texts with equal bands of their signatures become candidates of the first and of the last text in
-their bucket, never of all others there. Each candidate pair is then compared exactly.
+Texts with equal bands of their signatures meet in a bucket. Each is compared exactly with the first
+text there, which holds most buckets together. Buckets that this leaves in several classes are not
+paired out: their texts go through a prefix join (rare shingles first), which loses no pair of the
+wanted similarity, and only pairs between different classes are compared.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, only_present, release
+from .common import discard, materialize, only_present, release
 from .windows import numbered, split_units, word_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -31,6 +33,8 @@ K = BANDS * ROWS
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ALL = (1 << 64) - 1
 _CHUNK = 1 << 20
+#: Slots of the table of shingle counts that orders shingles; its size is fixed, whatever the corpus.
+SLOTS = 1 << 20
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -183,6 +187,75 @@ def alike(pairs: DataFrame, rows: DataFrame, least: float) -> DataFrame:
     return first.mapInArrow(run, "a long, b long")
 
 
+def open_rows(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """(row, label): the rows of buckets that hold more than one class. shared: (row, band)."""
+    now = shared.join(labels, "row", "left").select("row", "band", F.coalesce("label", "row").alias("label"))
+    split = now.groupBy("band").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter("_lo < _hi").select("band")
+    return now.join(split, "band", "left_semi").select("row", "label").distinct()
+
+
+def slot_counts(texts: DataFrame) -> np.ndarray:
+    """How often each slot of the shingles' numbers occurs; SLOTS numbers for any corpus."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for b in batches:
+            for t in b["text"].cast(pa.binary()):
+                np.add.at(total, _slot(elements(t.as_py())), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["slot", "n"])
+
+    got = texts.select("text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(SLOTS, np.int64)
+    out[got["slot"].to_numpy()] = got["n"].to_numpy()
+    return np.minimum(out, np.iinfo(np.uint32).max).astype(np.uint32)
+
+
+def _slot(e: np.ndarray) -> np.ndarray:
+    return (e >> np.uint64(44)).astype(np.int64) % SLOTS
+
+
+def prefixes(texts: DataFrame, counts: np.ndarray, least: float) -> DataFrame:
+    """(element, label, row, size, after): each text's rarest shingles, as many as a text of the wanted
+    similarity can't all lack; after is the number of shingles that come later in the order."""
+    held = texts.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        freq = held.value
+        for b in batches:
+            for row, label, text in zip(b["row"].to_pylist(), b["label"].to_pylist(), b["text"].cast(pa.binary()), strict=True):
+                e = elements(text.as_py())
+                n = len(e)
+                e = e[np.lexsort((e, freq[_slot(e)]))][: n - int(np.ceil(least * n - 1e-6)) + 1]
+                same = lambda x: pa.array(np.full(len(e), x, np.int64))  # noqa: E731, B023
+                yield pa.RecordBatch.from_arrays([pa.array(e.view(np.int64)), same(label), same(row), same(n), pa.array(n - 1 - np.arange(len(e)))], names=["element", "label", "row", "size", "after"])
+
+    return texts.select("row", "label", "text").mapInArrow(run, "element long, label long, row long, size long, after long")
+
+
+def rest_pairs(rows: DataFrame, split: DataFrame, least: float) -> DataFrame:
+    """(a, b): pairs of rows of different labels that may have the similarity, and all of those that
+    have. split: (row, label).
+
+    Texts of that similarity share one of their rarest shingles, and at the first they share enough
+    others are left. Labels are paired before rows, so a class that holds a third of all rows is never
+    joined with itself.
+    """
+    texts = only_present(rows.select("row", "text"), F.col("row"), split.select("row")).join(split, "row")
+    texts = materialize(texts, "near-open")
+    entries = materialize(prefixes(texts, slot_counts(texts), least), "near-prefixes")
+    classes = entries.groupBy("element", "label").agg(F.min("size").alias("small"), F.max("size").alias("large"))
+    mixed = entries.groupBy("element").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter("_lo < _hi").select("element")
+    classes = materialize(classes.join(mixed, "element", "left_semi"), "near-meet")
+    side = lambda t, x, *c: t.select("element", *(F.col(n).alias(f"{n}_{x}") for n in c))
+    near_size = (F.col("large_a") >= least * F.col("small_b")) & (F.col("large_b") >= least * F.col("small_a"))
+    meet = side(classes, "a", "label", "small", "large").join(side(classes, "b", "label", "small", "large"), "element").filter((F.col("label_a") < F.col("label_b")) & near_size)
+    one = meet.select("element", "label_a", "label_b").join(side(entries, "a", "label", "row", "size", "after"), ["element", "label_a"])
+    two = one.join(side(entries, "b", "label", "row", "size", "after"), ["element", "label_b"])
+    enough = (F.least("after_a", "after_b") + 1) * (1 + least) >= least * (F.col("size_a") + F.col("size_b")) - 1e-6
+    return two.filter(enough).select(F.least("row_a", "row_b").alias("a"), F.greatest("row_a", "row_b").alias("b")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(row, label): the least row of the connected component of each row in an edge. Each round hooks
     every row to its least neighbour, jumps once and contracts the edges, until none is left."""
@@ -215,8 +288,8 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     Null doc_ids come last; rows that repeat a doc_id are compared one by one and one of them is kept.
     Other columns are ignored.
 
-    Texts are compared with the first and with the last text of each of their 20 buckets. In a class
-    they need not all be similar to each other, and links that leave the classes unchanged aren't sought.
+    In a class not all texts need be similar to each other. Links inside a class that is already held
+    together aren't sought; between classes that meet in a bucket, all are.
     """
     rows = numbered(docs)
     spark = docs.sparkSession
@@ -225,18 +298,19 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     reps = signed.join(copies.select(F.col("rep").alias("row")), "row", "left_semi")
     deals = materialize(reps.select("row", F.explode("bands").alias("band")), "near-deals")
     ends = deals.groupBy("band").agg(F.min("row").alias("lo"), F.max("row").alias("hi")).filter("lo < hi")
-    met = materialize(deals.join(ends, "band").select("row", "lo", "hi").distinct(), "near-met")
+    shared = materialize(deals.join(ends, "band").select("row", "band", "lo"), "near-shared")
+    discard(deals)
     release(spark)
 
-    pairs = materialize(met.filter("lo < row").select(F.col("lo").alias("a"), F.col("row").alias("b")).distinct(), "near-pairs")
+    pairs = materialize(shared.filter("lo < row").select(F.col("lo").alias("a"), F.col("row").alias("b")).distinct(), "near-pairs")
     edges = materialize(alike(pairs, rows, least), "near-links")
     labels = components(edges)
     release(spark)
-    # what the first text of a bucket doesn't hold together, the last may
-    label = lambda c: labels.select(F.col("row").alias(c), F.col("label").alias("_" + c))
-    more = met.filter("row < hi").select(F.col("row").alias("a"), F.col("hi").alias("b")).distinct().join(label("a"), "a", "left").join(label("b"), "b", "left")
-    more = materialize(more.filter(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b"), "near-pairs")
-    if not more.isEmpty():
+    # what the first text of a bucket doesn't hold together
+    split = materialize(open_rows(shared, labels), "near-split")
+    if not split.isEmpty():
+        more = materialize(rest_pairs(rows, split, least), "near-pairs")
+        release(spark)
         labels = components(edges.unionByName(alike(more, rows, least)))
 
     of = copies.join(labels.select(F.col("row").alias("rep"), "label"), "rep", "left").select("digest", "n", F.coalesce("label", "rep").alias("label"))

@@ -99,3 +99,26 @@ def test_pipeline_against_brute_force(spark):
     for r in got:
         tokens = enc.encode_ordinary(rows[r.doc_id].text)
         assert (r.n_tokens, r.ids_sha256) == (len(tokens), hashlib.sha256(" ".join(map(str, tokens)).encode()).hexdigest())
+
+
+def test_rest_of_a_bucket(spark, monkeypatch):
+    """All texts in one bucket, whose first text is like none: what is left is found exactly."""
+    from pyspark.sql import functions as F
+
+    signed = near.banded
+    monkeypatch.setattr(near, "banded", lambda rows: signed(rows).withColumn("bands", F.when(F.size("bands") > 0, F.array(F.lit(1).cast("long"))).otherwise(F.array().cast("array<long>"))))
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(3000)]
+    frame = rng.choices(words, k=90)  # a passage that all share, but for the likeness not enough
+    texts = ["first " * 7]
+    for _ in range(15):
+        base = frame + rng.choices(words, k=60)
+        for _ in range(4):
+            for _ in range(rng.randint(0, 4)):
+                base[rng.randrange(len(base))] = rng.choice(words)
+            texts.append(" ".join(base))  # a chain: each from the one before
+    texts += [*corpus(), "last " * 9]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near.near_duplicates(df).collect()}
+    want = classes(texts)
+    assert len(set(want)) > 20 and [got[i] for i in range(len(texts))] == want
