@@ -10,7 +10,8 @@ whatever its length.
 Texts with equal bands of their signatures meet in a bucket. Each is compared exactly with the first
 text there, which holds most buckets together. Buckets that this leaves in several classes are not
 paired out: their texts go through a prefix join (rare shingles first), which loses no pair of the
-wanted similarity, and only pairs between different classes are compared.
+wanted similarity. Leaders drawn by hash merge what they can there, then pairs that are still in
+different classes are compared.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialize, only_present, release
@@ -35,6 +36,8 @@ _ALL = (1 << 64) - 1
 _CHUNK = 1 << 20
 #: Slots of the table of shingle counts that orders shingles; its size is fixed, whatever the corpus.
 SLOTS = 1 << 20
+#: Rounds of drawn leaders before all other links; any number gives the same classes.
+LEADERS = 2
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -187,11 +190,11 @@ def alike(pairs: DataFrame, rows: DataFrame, least: float) -> DataFrame:
     return first.mapInArrow(run, "a long, b long")
 
 
-def open_rows(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """(row, label): the rows of buckets that hold more than one class. shared: (row, band)."""
-    now = shared.join(labels, "row", "left").select("row", "band", F.coalesce("label", "row").alias("label"))
-    split = now.groupBy("band").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter("_lo < _hi").select("band")
-    return now.join(split, "band", "left_semi").select("row", "label").distinct()
+def opened(rows: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    """rows (row, key and others) with their label, of those keys that hold more than one class."""
+    now = rows.join(labels, "row", "left").withColumn("label", F.coalesce("label", "row"))
+    split = now.groupBy(key).agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter("_lo < _hi").select(key)
+    return now.join(split, key, "left_semi").select(*rows.columns, "label")
 
 
 def slot_counts(texts: DataFrame) -> np.ndarray:
@@ -215,45 +218,55 @@ def _slot(e: np.ndarray) -> np.ndarray:
     return (e >> np.uint64(44)).astype(np.int64) % SLOTS
 
 
-def prefixes(texts: DataFrame, counts: np.ndarray, least: float) -> DataFrame:
-    """(element, label, row, size, after): each text's rarest shingles, as many as a text of the wanted
+def prefixes(texts: DataFrame, least: float) -> DataFrame:
+    """(element, row, size, after): each text's rarest shingles, as many as a text of the wanted
     similarity can't all lack; after is the number of shingles that come later in the order."""
-    held = texts.sparkSession.sparkContext.broadcast(counts)
+    held = texts.sparkSession.sparkContext.broadcast(slot_counts(texts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         freq = held.value
         for b in batches:
-            for row, label, text in zip(b["row"].to_pylist(), b["label"].to_pylist(), b["text"].cast(pa.binary()), strict=True):
+            for row, text in zip(b["row"].to_pylist(), b["text"].cast(pa.binary()), strict=True):
                 e = elements(text.as_py())
                 n = len(e)
                 e = e[np.lexsort((e, freq[_slot(e)]))][: n - int(np.ceil(least * n - 1e-6)) + 1]
                 same = lambda x: pa.array(np.full(len(e), x, np.int64))  # noqa: E731, B023
-                yield pa.RecordBatch.from_arrays([pa.array(e.view(np.int64)), same(label), same(row), same(n), pa.array(n - 1 - np.arange(len(e)))], names=["element", "label", "row", "size", "after"])
+                yield pa.RecordBatch.from_arrays([pa.array(e.view(np.int64)), same(row), same(n), pa.array(n - 1 - np.arange(len(e)))], names=["element", "row", "size", "after"])
 
-    return texts.select("row", "label", "text").mapInArrow(run, "element long, label long, row long, size long, after long")
+    return texts.select("row", "text").mapInArrow(run, "element long, row long, size long, after long")
 
 
-def rest_pairs(rows: DataFrame, split: DataFrame, least: float) -> DataFrame:
-    """(a, b): pairs of rows of different labels that may have the similarity, and all of those that
-    have. split: (row, label).
+def _enough(least: float, after: str = "after", size: str = "size") -> Column:
+    """Whether two texts, a and b, that have their first common shingle here can have the similarity."""
+    return (F.least(f"{after}_a", f"{after}_b") + 1) * (1 + least) >= least * (F.col(f"{size}_a") + F.col(f"{size}_b")) - 1e-6
 
-    Texts of that similarity share one of their rarest shingles, and at the first they share enough
-    others are left. Labels are paired before rows, so a class that holds a third of all rows is never
-    joined with itself.
-    """
-    texts = only_present(rows.select("row", "text"), F.col("row"), split.select("row")).join(split, "row")
-    texts = materialize(texts, "near-open")
-    entries = materialize(prefixes(texts, slot_counts(texts), least), "near-prefixes")
-    classes = entries.groupBy("element", "label").agg(F.min("size").alias("small"), F.max("size").alias("large"))
-    mixed = entries.groupBy("element").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter("_lo < _hi").select("element")
-    classes = materialize(classes.join(mixed, "element", "left_semi"), "near-meet")
+
+def _pairs(met: DataFrame) -> DataFrame:
+    return met.select(F.least("row_a", "row_b").alias("a"), F.greatest("row_a", "row_b").alias("b")).distinct()
+
+
+def led(entries: DataFrame, nth: int, least: float) -> DataFrame:
+    """(a, b): each row with its shingle's leader, where that is of another class. Classes are drawn by
+    hash, and the first row of the one drawn leads; a large class is drawn no more often than a small
+    one. Rows that have the shingle too late in their order to meet rows of their size come last."""
+    own = ("row", "label", "size", "after")
+    late, draw = (F.col("after") < F.col("size") * (2 * least / (1 + least)) - 1).alias("late"), F.xxhash64("label", "element", F.lit(nth)).alias("draw")
+    leader = entries.groupBy("element").agg(F.min(F.struct(late, draw, *own)).alias("b")).select("element", *(F.col(f"b.{c}").alias(f"{c}_b") for c in own))
+    rest = entries.select("element", *(F.col(c).alias(f"{c}_a") for c in own))
+    return _pairs(rest.join(leader, "element").filter((F.col("label_a") != F.col("label_b")) & _enough(least)))
+
+
+def crossed(entries: DataFrame, least: float) -> DataFrame:
+    """(a, b): all pairs of rows of different classes that meet at a shingle and can have the
+    similarity. Classes are paired before rows, so a class that holds a third of all rows is never
+    joined with itself."""
+    bounds = ("label", "small", "large", "after")
+    classes = materialize(entries.groupBy("element", "label").agg(F.min("size").alias("small"), F.max("size").alias("large"), F.max("after").alias("after")), "near-meet")
     side = lambda t, x, *c: t.select("element", *(F.col(n).alias(f"{n}_{x}") for n in c))
-    near_size = (F.col("large_a") >= least * F.col("small_b")) & (F.col("large_b") >= least * F.col("small_a"))
-    meet = side(classes, "a", "label", "small", "large").join(side(classes, "b", "label", "small", "large"), "element").filter((F.col("label_a") < F.col("label_b")) & near_size)
+    near_size = (F.col("large_a") >= least * F.col("small_b")) & (F.col("large_b") >= least * F.col("small_a")) & _enough(least, size="small")
+    meet = side(classes, "a", *bounds).join(side(classes, "b", *bounds), "element").filter((F.col("label_a") < F.col("label_b")) & near_size)
     one = meet.select("element", "label_a", "label_b").join(side(entries, "a", "label", "row", "size", "after"), ["element", "label_a"])
-    two = one.join(side(entries, "b", "label", "row", "size", "after"), ["element", "label_b"])
-    enough = (F.least("after_a", "after_b") + 1) * (1 + least) >= least * (F.col("size_a") + F.col("size_b")) - 1e-6
-    return two.filter(enough).select(F.least("row_a", "row_b").alias("a"), F.greatest("row_a", "row_b").alias("b")).distinct()
+    return _pairs(one.join(side(entries, "b", "label", "row", "size", "after"), ["element", "label_b"]).filter(_enough(least)))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -306,12 +319,20 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     edges = materialize(alike(pairs, rows, least), "near-links")
     labels = components(edges)
     release(spark)
-    # what the first text of a bucket doesn't hold together
-    split = materialize(open_rows(shared, labels), "near-split")
-    if not split.isEmpty():
-        more = materialize(rest_pairs(rows, split, least), "near-pairs")
+    # what the first text of a bucket doesn't hold together meets again at its rare shingles: leaders
+    # merge the large classes, at one pair a shingle and row, then all links left are sought
+    split = opened(shared.select("row", "band"), labels, "band").select("row").distinct()
+    texts = materialize(only_present(rows.select("row", "text"), F.col("row"), split).join(split, "row"), "near-open")
+    entries = materialize(prefixes(texts, least), "near-prefixes")
+    discard(shared)
+    for nth in range(LEADERS + 1):
+        entries = materialize(opened(entries.select("element", "row", "size", "after"), labels, "element"), "near-prefixes")
+        if entries.isEmpty():
+            break
+        more = materialize(led(entries, nth, least) if nth < LEADERS else crossed(entries, least), "near-pairs")
+        edges = edges.unionByName(materialize(alike(more, texts, least), "near-links"))
+        labels = components(edges)
         release(spark)
-        labels = components(edges.unionByName(alike(more, rows, least)))
 
     of = copies.join(labels.select(F.col("row").alias("rep"), "label"), "rep", "left").select("digest", "n", F.coalesce("label", "rep").alias("label"))
     sizes = of.groupBy("label").agg(F.sum("n").alias("class_size"))
