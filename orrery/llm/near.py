@@ -265,7 +265,10 @@ def crossed(entries: DataFrame, least: float) -> DataFrame:
     side = lambda t, x, *c: t.select("element", *(F.col(n).alias(f"{n}_{x}") for n in c))
     near_size = (F.col("large_a") >= least * F.col("small_b")) & (F.col("large_b") >= least * F.col("small_a")) & _enough(least, size="small")
     meet = side(classes, "a", *bounds).join(side(classes, "b", *bounds), "element").filter((F.col("label_a") < F.col("label_b")) & near_size)
-    one = meet.select("element", "label_a", "label_b").join(side(entries, "a", "label", "row", "size", "after"), ["element", "label_a"])
+    # a row is only taken on where it can be like some row of the other class
+    other = meet.select("element", "label_a", "label_b", F.col("small_b").alias("size_b"), F.col("large_b"), F.col("after_b"))
+    fits = (F.col("size_a") >= least * F.col("size_b")) & (F.col("large_b") >= least * F.col("size_a")) & _enough(least)
+    one = other.join(side(entries, "a", "label", "row", "size", "after"), ["element", "label_a"]).filter(fits).select("element", "label_a", "label_b", "row_a", "size_a", "after_a")
     return _pairs(one.join(side(entries, "b", "label", "row", "size", "after"), ["element", "label_b"]).filter(_enough(least)))
 
 
