@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from .common import SPACE_CLASS, fresh_path, materialize, only_present
+from .common import SPACE_CLASS, fresh_path, materialize, only_kept, only_present, text_key
 
 _ROCKS = "spark.sql.streaming.stateStore.rocksdb"
 #: The state store: on disk, with its changes in the shared folder instead of whole snapshots each
@@ -32,11 +32,12 @@ def sha256_digest(norm: Column) -> Column:
     return F.sha2(norm, 256)
 
 
-def arrivals(docs: DataFrame, digest=sha256_digest) -> DataFrame:
+def arrivals(docs: DataFrame, digest=sha256_digest, keys: bool = False) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.length(text).cast("long").alias("n_points"), F.input_file_name().alias("locator"), normalised(F.col("text")).alias("norm")
-    ).select("doc_id", "n_points", "locator", digest(F.col("norm")).alias("digest"))
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.length(text).cast("long").alias("n_points"), F.input_file_name().alias("locator"), *([text_key(text).alias("text_key")] if keys else []), normalised(F.col("text")).alias("norm")
+    )
+    return rows.select(*rows.columns[:-1], digest(F.col("norm")).alias("digest"))
 
 
 def _rank() -> Column:
@@ -100,23 +101,32 @@ def dedup_exact(docs: DataFrame, digest=sha256_digest, files_per_batch: int = 64
     digest may be any function of the normalised text. Should two texts share a digest, the check of
     full bytes finds it, and the documents concerned are grouped by their texts instead.
     """
-    rows = materialize(arrivals(docs, digest), "exact-arrivals")
+    return judged(docs, digest, files_per_batch).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def judged(docs: DataFrame, digest=sha256_digest, files_per_batch: int = 64, keys: bool = False) -> DataFrame:
+    """dedup_exact(), and with keys two more columns: text_key, and norm, which is null but where texts
+    share a digest."""
+    rows = materialize(arrivals(docs, digest, keys), "exact-arrivals")
     held = materialize(fold_stream(rows, files_per_batch), "exact-held")
     mixed = materialize(differing(docs, held, digest), "exact-mixed")
     out = rows.join(held, "digest")
     if not mixed.isEmpty():
         out = out.join(mixed, "digest", "left_anti")
     columns = ["doc_id", F.when(F.col("best.has_id"), -F.col("best.neg_id")).alias("keep_id"), "group_size", (F.col("doc_id").eqNullSafe(F.when(F.col("best.has_id"), -F.col("best.neg_id"))) & (F.col("n_points") == F.col("best.n_points"))).alias("kept"), F.col("digest").alias("text_sha256")]
-    result = out.select(*columns)
+    more = ["text_key", "norm"] if keys else []
+    result = out.withColumn("norm", F.lit(None).cast("string")).select(*columns, *more)
     if not mixed.isEmpty():
-        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_points"), F.lit("").alias("locator"), normalised(F.col("text")).alias("norm"))
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_points"), F.lit("").alias("locator"), text_key(F.col("text")).alias("text_key"), normalised(F.col("text")).alias("norm"))
         texts = texts.withColumn("digest", digest(F.col("norm"))).join(mixed, "digest", "left_semi")
         best = texts.groupBy("digest", "norm").agg(F.max(_rank()).alias("best"), F.count("*").alias("group_size"))
-        result = result.unionByName(texts.join(best, ["digest", "norm"]).select(*columns))
+        result = result.unionByName(texts.join(best, ["digest", "norm"]).select(*columns, *more))
     return result
 
 
-def keep_first_copies(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns; a repeated row stays once."""
-    kept = dedup_exact(docs).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").dropDuplicates(["doc_id"])
+def keep_first_copies(docs: DataFrame, digest=sha256_digest) -> DataFrame:
+    """The documents that stay, with all their columns: one of each group of equal texts, whatever
+    other texts its doc_id has. Of rows that all stay by dedup_exact() (one id, one length, the white
+    space elsewhere) it is the one of least text_key."""
+    kept = judged(docs, digest, keys=True).filter("kept").groupBy("text_sha256", "norm").agg(F.min(F.struct("text_key", "doc_id")).alias("best"))
+    return only_kept(docs, kept.select("best.doc_id", "best.text_key"))

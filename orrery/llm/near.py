@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, only_present, release
+from .common import discard, materialize, only_kept, only_present, release
 from .windows import numbered, split_units, word_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -138,14 +138,15 @@ def _throw(rank, dart, o, t, u, k) -> None:
 
 
 def banded(rows: DataFrame) -> DataFrame:
-    """(row, digest, bands): the digest of the words and a number for each band; no bands without words."""
+    """(row, digest, text_key, bands): the digests of the words and of the text as it is, and a number
+    for each band; no bands without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             held: list[tuple] = []
             size = 0
             for row, text in zip(b["row"].to_pylist(), b["text"].cast(pa.binary()).to_pylist(), strict=True):
-                held.append((row, hashlib.md5(b" ".join(text.split())).digest(), elements(text)))
+                held.append((row, hashlib.md5(b" ".join(text.split())).digest(), elements(text), hashlib.sha256(text).digest()))
                 size += len(held[-1][2])
                 if size >= _CHUNK // 4:
                     yield close(held)
@@ -164,9 +165,9 @@ def banded(rows: DataFrame) -> DataFrame:
                 key = _mix(key * _ODD + sig[:, :, j])
             for i, own in zip(full, key.view(np.int64), strict=True):
                 bands[i] = own.tolist()
-        return pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.int64()), pa.array([h[1] for h in held], pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["row", "digest", "bands"])
+        return pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.int64()), pa.array([h[1] for h in held], pa.binary()), pa.array([h[3] for h in held], pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["row", "digest", "text_key", "bands"])
 
-    return rows.select("row", "text").mapInArrow(run, "row long, digest binary, bands array<long>")
+    return rows.select("row", "text").mapInArrow(run, "row long, digest binary, text_key binary, bands array<long>")
 
 
 def alike(pairs: DataFrame, rows: DataFrame, least: float) -> DataFrame:
@@ -307,6 +308,11 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     In a class not all texts need be similar to each other. Links inside a class that is already held
     together aren't sought; between classes that meet in a bucket, all are.
     """
+    return judged(docs, least).drop("text_key")
+
+
+def judged(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """near_duplicates() and the text_key of each row."""
     rows = numbered(docs)
     spark = docs.sparkSession
     signed = materialize(banded(rows), "near-bands")
@@ -341,10 +347,10 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     sizes = of.groupBy("label").agg(F.sum("n").alias("class_size"))
     classes = materialize(of.join(sizes, "label").select("digest", "label", "class_size"), "near-classes")
     doc = lambda r: F.when(F.shiftright(r, 20) != F.lit((1 << 42) - 1), F.shiftright(r, 20))
-    return signed.select("row", "digest").join(classes, "digest").select(doc("row").alias("doc_id"), doc("label").alias("class_id"), "class_size", (F.col("row") == F.col("label")).alias("kept"))
+    return signed.select("row", "digest", "text_key").join(classes, "digest").select(doc("row").alias("doc_id"), doc("label").alias("class_id"), "class_size", (F.col("row") == F.col("label")).alias("kept"), "text_key")
 
 
 def keep_one_of_each(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """The first document of each class, with all columns; a repeated row stays once."""
-    kept = near_duplicates(docs, least).filter("kept").select(F.col("doc_id").alias("kept_id"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """The first document of each class, with all columns, whatever other texts its doc_id has; a row
+    that repeats its id and text stays once."""
+    return only_kept(docs, judged(docs, least).filter("kept"))

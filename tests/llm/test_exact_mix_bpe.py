@@ -40,6 +40,17 @@ def test_full_bytes_are_checked(spark):
     assert sorted([tuple(r)[:4] for r in weak.collect()], key=str) == [r[:4] for r in keep(DOCS)]
 
 
+def test_distinct_texts_under_one_id_stay(spark):
+    """Null and repeated ids: each text is judged by itself, and a rejected copy isn't let back in."""
+    rows = [(None, "x one"), (None, "x two"), (None, "x three"), (5, "y one"), (5, "y two"), (5, "z"), (2, "z "), (7, "w"), (7, "w"), (8, "v v"), (8, "vv "), (None, None)]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, n int").repartition(3)
+    for digest in (exact.sha256_digest, lambda n: F.length(n).cast("string")):
+        got = [(r.doc_id, r.text) for r in exact.keep_first_copies(df, digest).collect()]
+        fixed = [g for g in got if g[0] != 8]
+        assert sorted(fixed, key=str) == sorted([(None, None), (None, "x one"), (None, "x two"), (None, "x three"), (5, "y one"), (5, "y two"), (2, "z "), (7, "w")], key=str)
+        assert [g for g in got if g[0] == 8] in ([(8, "v v")], [(8, "vv ")])
+
+
 def test_filter_lets_all_present_keys_through(spark):
     rows = spark.range(3000).select(F.col("id").cast("string").alias("k"))
     keys = spark.range(0, 3000, 7).select(F.col("id").cast("string").alias("k"))

@@ -60,6 +60,13 @@ def test_near(spark):
     assert sorted([(r.doc_id, r.class_id, r.class_size, r.kept) for r in near.near_duplicates(odd).collect()], key=str) == sorted([(None, 1, 3, False), (1, 1, 3, True), (1, 1, 3, False), (None, None, 1, True)], key=str)
 
 
+def test_distinct_texts_under_one_id_stay(spark):
+    rows = [(None, "a one"), (None, "b two"), (None, "c three"), (5, "d one"), (5, "e two"), (5, "f"), (2, "f"), (7, "g"), (7, "g"), (None, "f")]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, row int").repartition(3)
+    got = sorted([(r.doc_id, r.text) for r in near.keep_one_of_each(df).collect()], key=str)
+    assert got == sorted([(None, "a one"), (None, "b two"), (None, "c three"), (5, "d one"), (5, "e two"), (2, "f"), (7, "g")], key=str)
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(1)
     a = np.unique(rng.integers(0, 1 << 62, 900, dtype=np.uint64))
