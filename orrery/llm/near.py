@@ -138,15 +138,15 @@ def _throw(rank, dart, o, t, u, k) -> None:
 
 
 def banded(rows: DataFrame) -> DataFrame:
-    """(row, digest, text_key, bands): the digests of the words and of the text as it is, and a number
+    """(row, doc_id, digest, text_key, bands): the digests of the words and of the text as it is, and a number
     for each band; no bands without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             held: list[tuple] = []
             size = 0
-            for row, text in zip(b["row"].to_pylist(), b["text"].cast(pa.binary()).to_pylist(), strict=True):
-                held.append((row, hashlib.md5(b" ".join(text.split())).digest(), elements(text), hashlib.sha256(text).digest()))
+            for row, doc, text in zip(b["row"].to_pylist(), b["doc_id"].to_pylist(), b["text"].cast(pa.binary()).to_pylist(), strict=True):
+                held.append((row, hashlib.md5(b" ".join(text.split())).digest(), elements(text), hashlib.sha256(text).digest(), doc))
                 size += len(held[-1][2])
                 if size >= _CHUNK // 4:
                     yield close(held)
@@ -165,9 +165,9 @@ def banded(rows: DataFrame) -> DataFrame:
                 key = _mix(key * _ODD + sig[:, :, j])
             for i, own in zip(full, key.view(np.int64), strict=True):
                 bands[i] = own.tolist()
-        return pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.int64()), pa.array([h[1] for h in held], pa.binary()), pa.array([h[3] for h in held], pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["row", "digest", "text_key", "bands"])
+        return pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.int64()), pa.array([h[4] for h in held], pa.int64()), pa.array([h[1] for h in held], pa.binary()), pa.array([h[3] for h in held], pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["row", "doc_id", "digest", "text_key", "bands"])
 
-    return rows.select("row", "text").mapInArrow(run, "row long, digest binary, text_key binary, bands array<long>")
+    return rows.select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, digest binary, text_key binary, bands array<long>")
 
 
 def alike(pairs: DataFrame, rows: DataFrame, least: float) -> DataFrame:
@@ -316,7 +316,7 @@ def judged(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     rows = numbered(docs)
     spark = docs.sparkSession
     signed = materialize(banded(rows), "near-bands")
-    copies = materialize(signed.groupBy("digest").agg(F.min("row").alias("rep"), F.count("*").alias("n")), "near-copies")
+    copies = materialize(signed.groupBy("digest").agg(F.min("row").alias("rep"), F.min(F.struct("row", "doc_id")).getField("doc_id").alias("rep_doc"), F.count("*").alias("n")), "near-copies")
     reps = signed.join(copies.select(F.col("rep").alias("row")), "row", "left_semi")
     deals = materialize(reps.select("row", F.explode("bands").alias("band")), "near-deals")
     ends = deals.groupBy("band").agg(F.min("row").alias("lo"), F.max("row").alias("hi")).filter("lo < hi")
@@ -343,11 +343,11 @@ def judged(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
         labels = components(edges)
         release(spark)
 
-    of = copies.join(labels.select(F.col("row").alias("rep"), "label"), "rep", "left").select("digest", "n", F.coalesce("label", "rep").alias("label"))
-    sizes = of.groupBy("label").agg(F.sum("n").alias("class_size"))
-    classes = materialize(of.join(sizes, "label").select("digest", "label", "class_size"), "near-classes")
-    doc = lambda r: F.when(F.shiftright(r, 20) != F.lit((1 << 42) - 1), F.shiftright(r, 20))
-    return signed.select("row", "digest", "text_key").join(classes, "digest").select(doc("row").alias("doc_id"), doc("label").alias("class_id"), "class_size", (F.col("row") == F.col("label")).alias("kept"), "text_key")
+    of = copies.join(labels.select(F.col("row").alias("rep"), "label"), "rep", "left").select("digest", "n", "rep", "rep_doc", F.coalesce("label", "rep").alias("label"))
+    # the label is the least row of the class, so the doc_id of the least is the class's
+    sizes = of.groupBy("label").agg(F.sum("n").alias("class_size"), F.min(F.struct("rep", "rep_doc")).getField("rep_doc").alias("class_id"))
+    classes = materialize(of.join(sizes, "label").select("digest", "label", "class_id", "class_size"), "near-classes")
+    return signed.select("row", "doc_id", "digest", "text_key").join(classes, "digest").select("doc_id", "class_id", "class_size", (F.col("row") == F.col("label")).alias("kept"), "text_key")
 
 
 def keep_one_of_each(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:

@@ -32,7 +32,7 @@ BUCKET_BYTES = 8 << 20
 FLUSH = 1 << 20
 #: Units of a long text that are hashed at once.
 PIECE = 1 << 18
-#: Rows that repeat a doc_id are told apart by this many low bits.
+#: Where doc_ids are small enough, a row is its doc_id and, in this many low bits, its number inside it.
 ROW_BITS = 20
 _POS = np.uint64((1 << 22) - 1)
 _MUL = 0x9E3779B97F4A7C15
@@ -167,16 +167,16 @@ def split_units(text: bytes, words: bool) -> tuple[bytes, np.ndarray, np.ndarray
     return b" ".join(found), starts, ends
 
 
-def _pieces(rows: Iterator[tuple[int, bytes]], frame: Frame) -> Iterator[list[tuple[int, int, bytes, np.ndarray, np.ndarray]]]:
-    """Lists of (id, first unit, text, starts, ends), each list about FLUSH bytes; long texts come in
-    pieces that share window - 1 units."""
+def _pieces(rows: Iterator[tuple], frame: Frame) -> Iterator[list[tuple]]:
+    """Lists of (id, first unit, text, starts, ends, more), each list about FLUSH bytes; long texts come
+    in pieces that share window - 1 units. rows: id, text and more."""
     held, size = [], 0
-    for row, raw in rows:
+    for row, raw, *more in rows:
         text, starts, ends = split_units(raw, frame.words)
         for at in range(0, max(len(starts) - frame.window + 1, 0), PIECE):
             last = min(len(starts), at + PIECE + frame.window - 1)
             lo, hi = int(starts[at]), int(ends[last - 1])
-            held.append((row, at, text[lo:hi], starts[at:last] - lo, ends[at:last] - lo))
+            held.append((row, at, text[lo:hi], starts[at:last] - lo, ends[at:last] - lo, *more))
             size += hi - lo
             if size >= FLUSH:
                 yield held
@@ -211,20 +211,67 @@ def _by_bucket(bucket: np.ndarray, make: Callable[[np.ndarray], bytes]) -> Itera
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, text): row orders by doc_id, null last, and tells rows of one doc_id apart."""
+    """(row, nth, doc_id, text): row orders by doc_id, null last, and tells rows of one doc_id apart; nth
+    is the number inside the id, so row - nth is one number for each doc_id, in their order.
+
+    Rows are doc_id << ROW_BITS plus nth where that is exact for all of them, else dense ranks."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    base = F.shiftleft(F.coalesce("doc_id", F.lit((1 << (62 - ROW_BITS)) - 1)), ROW_BITS)
-    if rows.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return rows.select(base.alias("row"), "doc_id", "text")
+    null = (1 << (62 - ROW_BITS)) - 1
+    seen = rows.groupBy("doc_id").count().agg(F.max("count").alias("most"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
+    most, low, high = seen["most"] or 0, seen["low"] or 0, seen["high"] or 0
+    if most > 1 << ROW_BITS or low < -null or high >= null:
+        return ranked(rows)
+    base = F.shiftleft(F.coalesce("doc_id", F.lit(null)), ROW_BITS)
+    if most <= 1:
+        return rows.select(base.alias("row"), F.lit(0).cast("long").alias("nth"), "doc_id", "text")
     from pyspark.sql import Window
 
     # only here, where ids repeat, the rows of one id are counted through
-    return rows.select((base + F.row_number().over(Window.partitionBy("doc_id").orderBy("text")) - 1).alias("row"), "doc_id", "text")
+    nth = (F.row_number().over(Window.partitionBy("doc_id").orderBy("text")) - 1).cast("long")
+    return rows.select(nth.alias("nth"), "doc_id", "text").select((base + F.col("nth")).alias("row"), "nth", "doc_id", "text")
+
+
+def ranked(rows: DataFrame) -> DataFrame:
+    """numbered() for any doc_ids and any number of rows of one: rows are dealt by ranges of doc_id and
+    text, so a hot id is many ranges, counted inside their range and moved on by what lies before it.
+    The driver holds one line a range. A draw splits even rows that are equal."""
+    order = [F.col("doc_id").asc_nulls_last(), F.col("text").asc(), F.col("draw_").asc()]
+    dealt = rows.withColumn("draw_", F.rand(5)).repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, at, doc, start = TaskContext.get().partitionId(), 0, None, 0
+        for b in batches:
+            ids, n = b["doc_id"], b.num_rows
+            heads = np.zeros(n, np.int64)
+            for i, d in enumerate(ids.to_pylist()):
+                if at + i == 0 or d != doc:
+                    doc, start = d, at + i
+                heads[i] = start
+            place = np.arange(at, at + n)
+            at += n
+            same = pa.array(np.full(n, part, np.int64))
+            yield pa.RecordBatch.from_arrays([same, pa.array(place), pa.array(place - heads), ids, b["text"]], names=["part", "place", "inside", "doc_id", "text"])
+
+    held = materialize(dealt.mapInArrow(run, "part long, place long, inside long, doc_id long, text string"), "ranked-rows")
+    ranges = held.groupBy("part").agg(F.count("*").alias("n"), F.min_by("doc_id", "place").alias("first"), F.max_by("doc_id", "place").alias("last"), F.max_by("inside", "place").alias("inside")).orderBy("part").collect()
+    # rows before each range, and how many of these at its head go on with its first id
+    before, lines, run_on, last = 0, [], 0, None
+    for k, r in enumerate(ranges):
+        on = run_on if k and r["first"] == last else 0
+        lines.append((r["part"], before, on, r["first"]))
+        # an id that fills the range goes on from what it had
+        run_on = r["inside"] + 1 + (on if r["first"] == r["last"] else 0)
+        before, last = before + r["n"], r["last"]
+    moves = rows.sparkSession.createDataFrame(lines, "part long, before long, on long, first long")
+    nth = F.col("inside") + F.when(F.col("doc_id").eqNullSafe(F.col("first")), F.col("on")).otherwise(F.lit(0).cast("long"))
+    return held.join(F.broadcast(moves), "part").select((F.col("before") + F.col("place")).alias("row"), nth.alias("nth"), "doc_id", "text")
 
 
 def anchors(rows: DataFrame, frame: Frame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in _pieces(_texts(batches), frame):
+        for held in _pieces(_texts(batches, "nth"), frame):
             sizes = np.array([len(h[3]) for h in held])
             if frame.words:
                 buf = np.frombuffer(b" ".join(h[2] for h in held), np.uint8)
@@ -236,22 +283,23 @@ def anchors(rows: DataFrame, frame: Frame, buckets: int) -> DataFrame:
             first = np.cumsum(sizes) - sizes
             piece = np.searchsorted(first, start, "right") - 1
             row = np.array([h[0] for h in held], np.int64)[piece]
+            nth = np.array([h[5] for h in held], np.int64)[piece]
             at = start - first[piece] + np.array([h[1] for h in held], np.int64)[piece]
             bucket = ((hashes >> np.uint64(34)) % np.uint64(buckets)).astype(np.int64)
             short = hashes.astype(np.uint32)
-            make = lambda i: pack(row=row[i], at=at[i], key=short[i], count=count[i].astype(np.uint8))
+            make = lambda i: pack(row=row[i], at=at[i], nth=nth[i], key=short[i], count=count[i].astype(np.uint8))
             yield _packed(["bucket", "blob"], list(_by_bucket(bucket, make)))
 
-    return rows.select("row", "text").mapInArrow(run, PACKED)
+    return rows.select("row", "nth", "text").mapInArrow(run, PACKED)
 
 
 def repeated(packed: DataFrame, row_buckets: int) -> DataFrame:
     """Entries whose anchor occurs in two documents, dealt by document."""
 
     def run(key, table):
-        row, at, short, count, _ = gather(table["blob"].to_pylist(), np.int64, np.int64, np.uint32, np.uint8)
+        row, at, nth, short, count, _ = gather(table["blob"].to_pylist(), np.int64, np.int64, np.int64, np.uint32, np.uint8)
         order = np.lexsort((row, short))
-        s, d = short[order], row[order] >> ROW_BITS
+        s, d = short[order], (row - nth)[order]
         new = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
         size = np.diff(np.append(new, len(s)))
         twice = np.repeat(d[new] != d[new + size - 1], size)
@@ -289,16 +337,16 @@ def contexts(rows: DataFrame, hits: DataFrame, frame: Frame) -> DataFrame:
         size = 0
 
         def flush() -> pa.RecordBatch:
-            row, at, short, bucket, count = (np.concatenate([h[j] for h in held]) for j in range(5))
-            texts = [t for h in held for t in h[5]]
-            return _packed(["bucket", "blob"], list(_by_bucket(bucket.astype(np.int64), lambda i: _with_texts(i, row, at, short, count, texts))))
+            row, nth, at, short, bucket, count = (np.concatenate([h[j] for h in held]) for j in range(6))
+            texts = [t for h in held for t in h[6]]
+            return _packed(["bucket", "blob"], list(_by_bucket(bucket.astype(np.int64), lambda i: _with_texts(i, row, nth, at, short, count, texts))))
 
-        for row, raw, blob in _texts(batches, "hits"):
+        for row, raw, nth, blob in _texts(batches, "nth", "hits"):
             text, starts, ends = split_units(raw, frame.words)
             at, short, bucket, count, _ = unpack(blob, np.int64, np.uint32, np.uint32, np.uint8)
             lo = starts[at]
             hi = ends[at + count.astype(np.int64) + frame.window - 2]
-            held.append((np.full(len(at), row, np.int64), at, short, bucket, count, [text[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]))
+            held.append((np.full(len(at), row, np.int64), np.full(len(at), nth, np.int64), at, short, bucket, count, [text[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]))
             size += int((hi - lo).sum())
             if size >= 4 * FLUSH:
                 yield flush()
@@ -306,17 +354,17 @@ def contexts(rows: DataFrame, hits: DataFrame, frame: Frame) -> DataFrame:
         if held:
             yield flush()
 
-    joined = rows.select("row", "text").join(hits, F.col("row") == F.col("row_")).select("row", "text", "hits")
+    joined = rows.select("row", "nth", "text").join(hits, F.col("row") == F.col("row_")).select("row", "nth", "text", "hits")
     return joined.mapInArrow(run, PACKED)
 
 
-def _with_texts(i: np.ndarray, row, at, short, count, texts: list[bytes]) -> bytes:
+def _with_texts(i: np.ndarray, row, nth, at, short, count, texts: list[bytes]) -> bytes:
     """Entries with their texts; a text that many entries share is held once."""
     import zstandard
 
     known: dict[bytes, int] = {}
     which = np.fromiter((known.setdefault(texts[j], len(known)) for j in i), np.uint32, len(i))
-    head = pack(row=row[i], at=at[i], key=short[i], count=count[i], which=which)
+    head = pack(row=row[i], at=at[i], nth=nth[i], key=short[i], count=count[i], which=which)
     body = list(known)
     tail = pack(size=np.fromiter(map(len, body), np.uint32, len(body)))
     return len(head).to_bytes(4, "little") + len(tail).to_bytes(4, "little") + head + tail + zstandard.ZstdCompressor(level=3).compress(b"".join(body))
@@ -326,7 +374,7 @@ def read_blob(blob: bytes) -> tuple[list[np.ndarray], list[bytes]]:
     import zstandard
 
     n, m = int.from_bytes(blob[:4], "little"), int.from_bytes(blob[4:8], "little")
-    cols = unpack(blob[8 : 8 + n], np.int64, np.int64, np.uint32, np.uint8, np.uint32)[:-1]
+    cols = unpack(blob[8 : 8 + n], np.int64, np.int64, np.int64, np.uint32, np.uint8, np.uint32)[:-1]
     ends = np.cumsum(unpack(blob[8 + n : 8 + n + m], np.uint32)[0].astype(np.int64)).tolist()
     raw = zstandard.ZstdDecompressor().decompress(blob[8 + n + m :])
     return cols, [raw[s:e] for s, e in zip([0, *ends[:-1]], ends, strict=True)]
@@ -364,11 +412,11 @@ def judge(blobs: list[bytes], frame: Frame) -> Runs:
     for blob in blobs:
         own, body = read_blob(blob)
         ids = np.fromiter((known.setdefault(t, len(known)) for t in body), np.int64, len(body))
-        cols.append([*own[:4], ids[own[4]]])
-    row, at, short, count, context = (np.concatenate([c[j] for c in cols]) for j in range(5))
+        cols.append([*own[:5], ids[own[5]]])
+    row, at, nth, short, count, context = (np.concatenate([c[j] for c in cols]) for j in range(6))
     texts = list(known)
     n = len(texts)
-    doc = row >> ROW_BITS
+    doc = row - nth
     count = count.astype(np.int64)
     least = np.full(n, np.iinfo(np.int64).max)
     np.minimum.at(least, context, doc)

@@ -67,6 +67,17 @@ def test_distinct_texts_under_one_id_stay(spark):
     assert got == sorted([(None, "a one"), (None, "b two"), (None, "c three"), (5, "d one"), (5, "e two"), (2, "f"), (7, "g")], key=str)
 
 
+def test_ids_of_64_bits(spark):
+    """Ids that agree in their low bits, the greatest and the least long, and null are all told apart."""
+    big = 1234567890123456789
+    rows = [(big, "a b c"), (big + (1 << 44), "a b c"), (big + 1, "d"), ((1 << 63) - 1, "e"), (None, "e"), (-(1 << 63), "f"), (3, "f"), ((1 << 42) - 1, "g"), (None, "g"), (big, "h")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.class_id, r.kept) for r in near.near_duplicates(df).collect()]
+    firsts = {"a b c": big, "d": big + 1, "e": (1 << 63) - 1, "f": -(1 << 63), "g": (1 << 42) - 1, "h": big}
+    assert sorted(got, key=str) == sorted([(d, firsts[t], d == firsts[t]) for d, t in rows], key=str)
+    assert sorted((r.doc_id, r.text) for r in near.keep_one_of_each(df).collect()) == sorted((d, t) for t, d in firsts.items())
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(1)
     a = np.unique(rng.integers(0, 1 << 62, 900, dtype=np.uint64))

@@ -61,6 +61,29 @@ def test_words(spark, seed):
     assert sorted([(r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept).hexdigest()) for r in got], key=str) == sorted([(w[0], w[1], w[2], w[4]) for w in want], key=str)
 
 
+def test_ids_of_64_bits(spark):
+    """The document of smaller id keeps its text, whatever the ids' size."""
+    far = {d: d * ((1 << 56) + 7) - (1 << 61) for d in range(64)}
+    rows = [(far.get(d, d if d is None else (1 << 62) + d), t) for d, t in corpus(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bytes_ = brute([(d, (t or "").encode()) for d, t in rows], lambda b: [b[i : i + 1] for i in range(len(b))], 50, b"".join)
+    got = suffixes.remove_repeated_bytes(df).collect()
+    assert sorted([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in got], key=str) == bytes_
+    words = brute([(d, (t or "").encode()) for d, t in rows], bytes.split, 13, b" ".join)
+    got = graph.remove_repeated_words(df).collect()
+    assert sorted([(r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept).hexdigest()) for r in got], key=str) == sorted([(w[0], w[1], w[2], w[4]) for w in words], key=str)
+
+
+def test_more_rows_of_one_id_than_low_bits(spark, monkeypatch):
+    """Over the room of ROW_BITS rows are ranked; ids and rows inside them go over ranges' borders."""
+    monkeypatch.setattr(windows, "ROW_BITS", 4)
+    rows = [(d, f"t{i % 7}") for d, n in ((None, 50), (2, 40), (1, 3), (5, 1), (9, 17)) for i in range(n)]
+    got = windows.numbered(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(r.row for r in got) == list(range(len(rows))) and sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(rows, key=str)
+    heads = {(r.doc_id, r.row - r.nth) for r in got}
+    assert heads == {(1, 0), (2, 3), (5, 43), (9, 44), (None, 61)}
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert suffixes.remove_repeated_bytes(df).isEmpty() and graph.remove_repeated_words(df).isEmpty()
