@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, only_kept, only_present, release
-from .windows import numbered, split_units, word_hashes
+from .common import discard, materialize, only_kept, only_present, release, text_key
+from .windows import Laid, lay, unit_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: 20 bands of 4 rows: a pair of similarity 0.8 is missed once in 37,000 times.
@@ -49,10 +49,13 @@ def _mix(h: np.ndarray) -> np.ndarray:
 def elements(text: bytes) -> np.ndarray:
     """The text's shingles as sorted numbers, the c-th copy of a shingle as a number of its own, so
     that weighted sets compare as plain ones. Fewer than five words are one shingle; none have none."""
-    joined, starts, ends = split_units(text, True)
-    if not len(starts):
+    return _elements(lay([text], True))
+
+
+def _elements(laid: Laid) -> np.ndarray:
+    if not len(laid.starts):
         return np.zeros(0, np.uint64)
-    h = word_hashes(np.frombuffer(joined, np.uint8), starts, ends)
+    h = unit_hashes(laid, 0, len(laid.starts))
     n = min(SHINGLE, len(h))
     m = len(h) - n + 1
     out = np.zeros(m, np.uint64)
@@ -137,44 +140,59 @@ def _throw(rank, dart, o, t, u, k) -> None:
     rank[cell[first]], dart[cell[first]] = t[first], ids[first]
 
 
-def banded(rows: DataFrame) -> DataFrame:
-    """(row, doc_id, digest, text_key, bands): the digests of the words and of the text as it is, and a number
+def banded(docs: DataFrame) -> DataFrame:
+    """(doc_id, digest, text_key, bands): the digests of the words and of the text as it is, and a number
     for each band; no bands without words."""
+    names = ["doc_id", "digest", "text_key", "bands"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for whole in batches:
             held: list[tuple] = []
             size = 0
-            for row, doc, text in zip(b["row"].to_pylist(), b["doc_id"].to_pylist(), b["text"].cast(pa.binary()).to_pylist(), strict=True):
-                held.append((row, hashlib.md5(b" ".join(text.split())).digest(), elements(text), hashlib.sha256(text).digest(), doc))
-                size += len(held[-1][2])
-                if size >= _CHUNK // 4:
-                    yield close(held)
-                    held, size = [], 0
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                for doc, text in zip(b["doc_id"].to_pylist(), b["text"].cast(pa.binary()).to_pylist(), strict=True):
+                    laid = lay([text], True)
+                    held.append((doc, hashlib.md5(laid.raw).digest(), hashlib.sha256(text).digest(), _elements(laid)))
+                    size += len(held[-1][3])
+                    if size >= _CHUNK // 4:
+                        yield close(held)
+                        held, size = [], 0
             if held:
                 yield close(held)
 
     def close(held: list[tuple]) -> pa.RecordBatch:
-        full = [i for i, h in enumerate(held) if len(h[2])]
+        full = [i for i, h in enumerate(held) if len(h[3])]
         bands: list = [[] for _ in held]
         if full:
-            sizes = [len(held[i][2]) for i in full]
-            sig = signatures(np.concatenate([held[i][2] for i in full]), np.repeat(np.arange(len(full)), sizes), len(full)).reshape(len(full), BANDS, ROWS)
+            sizes = [len(held[i][3]) for i in full]
+            owner = np.repeat(np.arange(len(full)), sizes)
+            sig = signatures(np.concatenate([held[i][3] for i in full]), owner, len(full)).reshape(len(full), BANDS, ROWS)
             key = np.arange(BANDS, dtype=np.uint64) * np.ones((len(full), 1), np.uint64)
             for j in range(ROWS):
                 key = _mix(key * _ODD + sig[:, :, j])
             for i, own in zip(full, key.view(np.int64), strict=True):
                 bands[i] = own.tolist()
-        return pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.int64()), pa.array([h[4] for h in held], pa.int64()), pa.array([h[1] for h in held], pa.binary()), pa.array([h[3] for h in held], pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["row", "doc_id", "digest", "text_key", "bands"])
+        kinds = (pa.int64(), pa.binary(), pa.binary())
+        cols = [pa.array([h[i] for h in held], k) for i, k in enumerate(kinds)]
+        return pa.RecordBatch.from_arrays([*cols, pa.array(bands, pa.list_(pa.int64()))], names=names)
 
-    return rows.select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, digest binary, text_key binary, bands array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, digest binary, text_key binary, bands array<long>")
 
 
-def alike(pairs: DataFrame, rows: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose texts have the similarity or more. Only texts in pairs are shuffled."""
-    texts = rows.select("row", "text")
-    second = only_present(texts, F.col("row"), pairs.select("b")).join(pairs, F.col("row") == F.col("b")).select("a", "b", F.col("text").alias("text_b"))
-    first = only_present(texts, F.col("row"), pairs.select("a")).join(second, F.col("row") == F.col("a")).select("a", "b", F.col("text").alias("text_a"), "text_b")
+def fetched(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """(row, text) for keys (row, key): the texts by their text_key. Copies of a text are reduced to one
+    in the task that reads them, and a filter of fixed size leaves out most others before any shuffle."""
+    rows = docs.select(text_key(F.col("text")).alias("key"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    once = only_present(rows, F.col("key"), keys.select("key")).dropDuplicates(["key"])
+    return once.join(keys, "key").select("row", "text")
+
+
+def alike(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose texts have the similarity or more. texts: (row, text)."""
+    second = texts.join(pairs, F.col("row") == F.col("b")).select("a", "b", F.col("text").alias("text_b"))
+    first = texts.join(second, F.col("row") == F.col("a")).select("a", "b", F.col("text").alias("text_a"), "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, own = None, None
@@ -191,10 +209,19 @@ def alike(pairs: DataFrame, rows: DataFrame, least: float) -> DataFrame:
     return first.mapInArrow(run, "a long, b long")
 
 
+def salted(keys: DataFrame) -> DataFrame:
+    """Each key once for each of the ways that its rows are dealt."""
+    return keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)))
+
+
 def opened(rows: DataFrame, labels: DataFrame, key: str) -> DataFrame:
-    """rows (row, key and others) with their label, of those keys that hold more than one class."""
+    """rows (row, key and others) with their label, of those keys that hold more than one class. Rows
+    with a salt are dealt by key and salt."""
     now = rows.join(labels, "row", "left").withColumn("label", F.coalesce("label", "row"))
-    split = now.groupBy(key).agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter("_lo < _hi").select(key)
+    dealt = [key, "ways"] if "ways" in rows.columns else [key]
+    split = now.groupBy(*dealt).agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter("_lo < _hi").select(*dealt)
+    if "ways" in rows.columns:
+        return now.join(salted(split).drop("ways"), [key, "salt"], "left_semi").select(*rows.columns, "label")
     return now.join(split, key, "left_semi").select(*rows.columns, "label")
 
 
@@ -219,22 +246,34 @@ def _slot(e: np.ndarray) -> np.ndarray:
     return (e >> np.uint64(44)).astype(np.int64) % SLOTS
 
 
+#: Rows of a shingle that are dealt together, about; more frequent shingles are dealt in several ways.
+TOGETHER = 512
+
+
 def prefixes(texts: DataFrame, least: float) -> DataFrame:
-    """(element, row, size, after): each text's rarest shingles, as many as a text of the wanted
-    similarity can't all lack; after is the number of shingles that come later in the order."""
-    held = texts.sparkSession.sparkContext.broadcast(slot_counts(texts))
+    """(element, row, size, after, ways, salt): each text's rarest shingles, as many as a text of the
+    wanted similarity can't all lack; after is the number of shingles that come later in the order. ways
+    is a number of the shingle's own, more than one if it is much more frequent than most; salt is the
+    way of the row."""
+    counts = slot_counts(texts)
+    ways = 1 + np.maximum(counts.astype(np.int64) - 2 * int(counts.mean()), 0) // TOGETHER
+    held = texts.sparkSession.sparkContext.broadcast((counts, ways))
+    names = ["element", "row", "size", "after", "ways", "salt"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        freq = held.value
+        freq, ways = held.value
         for b in batches:
             for row, text in zip(b["row"].to_pylist(), b["text"].cast(pa.binary()), strict=True):
                 e = elements(text.as_py())
                 n = len(e)
                 e = e[np.lexsort((e, freq[_slot(e)]))][: n - int(np.ceil(least * n - 1e-6)) + 1]
-                same = lambda x: pa.array(np.full(len(e), x, np.int64))  # noqa: E731, B023
-                yield pa.RecordBatch.from_arrays([pa.array(e.view(np.int64)), same(row), same(n), pa.array(n - 1 - np.arange(len(e)))], names=["element", "row", "size", "after"])
+                w = ways[_slot(e)]
+                salt = int(_mix(np.array([row], np.uint64))[0] >> np.uint64(33)) % w
+                cols = (e.view(np.int64), np.full(len(e), row, np.int64), np.full(len(e), n, np.int64), n - 1 - np.arange(len(e)))
+                small = [pa.array(x.astype(np.int32)) for x in (w, salt)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), *small], names=names)
 
-    return texts.select("row", "text").mapInArrow(run, "element long, row long, size long, after long")
+    return texts.select("row", "text").mapInArrow(run, "element long, row long, size long, after long, ways int, salt int")
 
 
 def _enough(least: float, after: str = "after", size: str = "size") -> Column:
@@ -251,25 +290,29 @@ def led(entries: DataFrame, nth: int, least: float) -> DataFrame:
     hash, and the first row of the one drawn leads; a large class is drawn no more often than a small
     one. Rows that have the shingle too late in their order to meet rows of their size come last."""
     own = ("row", "label", "size", "after")
-    late, draw = (F.col("after") < F.col("size") * (2 * least / (1 + least)) - 1).alias("late"), F.xxhash64("label", "element", F.lit(nth)).alias("draw")
-    leader = entries.groupBy("element").agg(F.min(F.struct(late, draw, *own)).alias("b")).select("element", *(F.col(f"b.{c}").alias(f"{c}_b") for c in own))
-    rest = entries.select("element", *(F.col(c).alias(f"{c}_a") for c in own))
-    return _pairs(rest.join(leader, "element").filter((F.col("label_a") != F.col("label_b")) & _enough(least)))
+    late = (F.col("after") < F.col("size") * (2 * least / (1 + least)) - 1).alias("late")
+    draw = F.xxhash64("label", "element", F.lit(nth)).alias("draw")
+    leader = salted(entries.groupBy("element", "ways").agg(F.min(F.struct(late, draw, *own)).alias("b")))
+    leader = leader.select("element", "salt", *(F.col(f"b.{c}").alias(f"{c}_b") for c in own))
+    rest = entries.select("element", "salt", *(F.col(c).alias(f"{c}_a") for c in own))
+    return _pairs(rest.join(leader, ["element", "salt"]).filter((F.col("label_a") != F.col("label_b")) & _enough(least)))
 
 
 def crossed(entries: DataFrame, least: float) -> DataFrame:
     """(a, b): all pairs of rows of different classes that meet at a shingle and can have the
     similarity. Classes are paired before rows, so a class that holds a third of all rows is never
     joined with itself."""
-    bounds = ("label", "small", "large", "after")
-    classes = materialize(entries.groupBy("element", "label").agg(F.min("size").alias("small"), F.max("size").alias("large"), F.max("after").alias("after")), "near-meet")
+    bounds = ("label", "small", "large", "after", "ways")
+    grouped = entries.groupBy("element", "label", "ways")
+    classes = materialize(grouped.agg(F.min("size").alias("small"), F.max("size").alias("large"), F.max("after").alias("after")), "near-meet")
     side = lambda t, x, *c: t.select("element", *(F.col(n).alias(f"{n}_{x}") for n in c))
     near_size = (F.col("large_a") >= least * F.col("small_b")) & (F.col("large_b") >= least * F.col("small_a")) & _enough(least, size="small")
     meet = side(classes, "a", *bounds).join(side(classes, "b", *bounds), "element").filter((F.col("label_a") < F.col("label_b")) & near_size)
     # a row is only taken on where it can be like some row of the other class
-    other = meet.select("element", "label_a", "label_b", F.col("small_b").alias("size_b"), F.col("large_b"), F.col("after_b"))
+    other = salted(meet.select("element", "label_a", "label_b", F.col("ways_a").alias("ways"), F.col("small_b").alias("size_b"), "large_b", "after_b"))
     fits = (F.col("size_a") >= least * F.col("size_b")) & (F.col("large_b") >= least * F.col("size_a")) & _enough(least)
-    one = other.join(side(entries, "a", "label", "row", "size", "after"), ["element", "label_a"]).filter(fits).select("element", "label_a", "label_b", "row_a", "size_a", "after_a")
+    rows = side(entries, "a", "label", "row", "size", "after", "salt").withColumnRenamed("salt_a", "salt")
+    one = other.join(rows, ["element", "label_a", "salt"]).filter(fits).select("element", "label_a", "label_b", "row_a", "size_a", "after_a")
     return _pairs(one.join(side(entries, "b", "label", "row", "size", "after"), ["element", "label_b"]).filter(_enough(least)))
 
 
@@ -295,15 +338,25 @@ def components(edges: DataFrame) -> DataFrame:
             labels = materialize(old, "near-labels")
 
 
+def merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """labels after more edges: only classes that these link are looked at again."""
+    as_ = lambda x: labels.select(F.col("row").alias(x), F.col("label").alias("_" + x))
+    own = lambda x: F.coalesce("_" + x, x)
+    between = edges.join(as_("a"), "a", "left").join(as_("b"), "b", "left").select(F.least(own("a"), own("b")).alias("a"), F.greatest(own("a"), own("b")).alias("b"))
+    over = components(between.filter("a < b").distinct())
+    moved = labels.join(over.select(F.col("row").alias("label"), F.col("label").alias("to")), "label", "left").select("row", F.coalesce("to", "label").alias("label"))
+    return materialize(moved.unionByName(over.join(labels, "row", "left_anti").select("row", "label")), "near-labels")
+
+
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """Classes of documents that are linked by similarities of `least` or more.
 
     docs has doc_id and text. One row per document: doc_id, class_id (the smallest doc_id of its
-    class), class_size (rows), kept (the row of the smallest doc_id). Texts of the same words are one
-    class at once; of these only the first goes on. A text without words is in a class with other such
-    texts only if it equals them; null text is empty. Texts of fewer than five words are one shingle.
-    Null doc_ids come last; rows that repeat a doc_id are compared one by one and one of them is kept.
-    Other columns are ignored.
+    class), class_size (rows), kept (the row of the smallest doc_id; of several texts of this id the one
+    of least SHA-256). Texts of the same words are one class at once; of these only one goes on. Texts
+    without words, null among them, are one class. Texts of fewer than five words are one shingle. doc_ids are any 64-bit numbers; null ones come last and may
+    be a class_id only of classes that have no other; rows that repeat a doc_id are compared one by one,
+    and one of them is kept. Other columns are ignored.
 
     In a class not all texts need be similar to each other. Links inside a class that is already held
     together aren't sought; between classes that meet in a bucket, all are.
@@ -313,41 +366,45 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
 def judged(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """near_duplicates() and the text_key of each row."""
-    rows = numbered(docs)
     spark = docs.sparkSession
-    signed = materialize(banded(rows), "near-bands")
-    copies = materialize(signed.groupBy("digest").agg(F.min("row").alias("rep"), F.min(F.struct("row", "doc_id")).getField("doc_id").alias("rep_doc"), F.count("*").alias("n")), "near-copies")
-    reps = signed.join(copies.select(F.col("rep").alias("row")), "row", "left_semi")
-    deals = materialize(reps.select("row", F.explode("bands").alias("band")), "near-deals")
+    # rows are told apart, and texts numbered once their copies are together, by numbers in written tables
+    signed = materialize(banded(docs).select("*", F.monotonically_increasing_id().alias("tie")), "near-bands")
+    best = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "tie")
+    grouped = signed.groupBy("digest").agg(F.count("*").alias("n"), F.min(best).alias("best"), F.first("bands").alias("bands"))
+    copies = materialize(grouped.select(F.monotonically_increasing_id().alias("row"), "*"), "near-copies")
+    deals = materialize(copies.select("row", F.explode("bands").alias("band")), "near-deals")
     ends = deals.groupBy("band").agg(F.min("row").alias("lo"), F.max("row").alias("hi")).filter("lo < hi")
     shared = materialize(deals.join(ends, "band").select("row", "band", "lo"), "near-shared")
     discard(deals)
     release(spark)
+    met = shared.select("row").distinct()
+    texts = materialize(fetched(docs, copies.join(met, "row").select("row", F.col("best.text_key").alias("key"))), "near-texts")
 
     pairs = materialize(shared.filter("lo < row").select(F.col("lo").alias("a"), F.col("row").alias("b")).distinct(), "near-pairs")
-    edges = materialize(alike(pairs, rows, least), "near-links")
-    labels = components(edges)
+    labels = components(alike(pairs, texts, least))
     release(spark)
     # what the first text of a bucket doesn't hold together meets again at its rare shingles: leaders
     # merge the large classes, at one pair a shingle and row, then all links left are sought
     split = opened(shared.select("row", "band"), labels, "band").select("row").distinct()
-    texts = materialize(only_present(rows.select("row", "text"), F.col("row"), split).join(split, "row"), "near-open")
-    entries = materialize(prefixes(texts, least), "near-prefixes")
+    entries = materialize(prefixes(texts.join(split, "row", "left_semi"), least), "near-prefixes")
     discard(shared)
     for nth in range(LEADERS + 1):
-        entries = materialize(opened(entries.select("element", "row", "size", "after"), labels, "element"), "near-prefixes")
+        now = materialize(opened(entries.drop("label"), labels, "element"), "near-prefixes")
+        discard(entries)
+        entries = now
         if entries.isEmpty():
             break
         more = materialize(led(entries, nth, least) if nth < LEADERS else crossed(entries, least), "near-pairs")
-        edges = edges.unionByName(materialize(alike(more, texts, least), "near-links"))
-        labels = components(edges)
+        labels = merged(labels, materialize(alike(more, texts, least), "near-links"))
         release(spark)
-
-    of = copies.join(labels.select(F.col("row").alias("rep"), "label"), "rep", "left").select("digest", "n", "rep", "rep_doc", F.coalesce("label", "rep").alias("label"))
-    # the label is the least row of the class, so the doc_id of the least is the class's
-    sizes = of.groupBy("label").agg(F.sum("n").alias("class_size"), F.min(F.struct("rep", "rep_doc")).getField("rep_doc").alias("class_id"))
-    classes = materialize(of.join(sizes, "label").select("digest", "label", "class_id", "class_size"), "near-classes")
-    return signed.select("row", "doc_id", "digest", "text_key").join(classes, "digest").select("doc_id", "class_id", "class_size", (F.col("row") == F.col("label")).alias("kept"), "text_key")
+    discard(entries)
+    discard(texts)
+
+    of = copies.join(labels, "row", "left").select("digest", "n", "best", F.coalesce("label", "row").alias("label"))
+    sizes = of.groupBy("label").agg(F.sum("n").alias("class_size"), F.min("best").alias("first"))
+    classes = materialize(of.join(sizes, "label").select("digest", F.col("first.doc_id").alias("class_id"), "class_size", F.col("first.tie").alias("first_tie")), "near-classes")
+    kept = (F.col("tie") == F.col("first_tie")).alias("kept")
+    return signed.drop("bands").join(classes, "digest").select("doc_id", "class_id", "class_size", kept, "text_key")
 
 
 def keep_one_of_each(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:

@@ -5,14 +5,16 @@ k-grams in it the one with the least hash, leftmost first. Equal windows have eq
 occurrences of a window meet at the reducer of its anchor, and neighbouring windows with one anchor
 travel as one run.
 
-    1. anchors()   each text -> (anchor hash, document, run), packed by bucket of the hash
-    2. repeated()  anchors that occur in two documents or more; where they are goes back by document
-    3. contexts()  the texts of these runs only, packed by bucket again
-    4. verdicts()  equality classes of the windows in a bucket; runs that a smaller document has too
-    5. spans()     these runs by document, joined to maximal spans
-
-What travels is packed columns of many entries, not rows, and steps 1 to 3 only narrow the work: what
-is removed is decided in step 4 on the units themselves, by the classes function given.
+    1. batches()   texts are written side by side in batches of a few MB; a batch has a number, and a
+                   document is a place in its batch, so any doc_ids do: null, repeated, of any size
+    2. anchors()   each anchor of a batch once, dealt by its hash: which anchors have two documents
+    3. contexts()  the texts of the runs at these anchors, each once a batch, dealt by anchor again
+    4. Meeting     what a reducer knows: each window's class, by the classes function given, and the
+                   least document that has it
+    5. places      the verdicts go back to the batches, which find the places of their runs again
+
+Nothing travels once for each occurrence: a batch sends an anchor or a text once, with its least and its
+greatest document, however many of its documents have it.
 """
 
 from __future__ import annotations
@@ -25,19 +27,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, release
+from .common import materialize, release
 
-#: Bytes of text whose anchors one reducer gets, and bytes and units hashed at once.
-BUCKET_BYTES = 8 << 20
-FLUSH = 1 << 20
-#: Units of a long text that are hashed at once.
-PIECE = 1 << 18
-#: Where doc_ids are small enough, a row is its doc_id and, in this many low bits, its number inside it.
-ROW_BITS = 20
+#: Bytes of text in a batch, and bytes of text whose anchors one reducer gets.
+BATCH_BYTES, BUCKET_BYTES = 2 << 20, 8 << 20
+#: Units whose anchors are sought at once, and bytes of words hashed at once.
+PIECE, HASHED = 1 << 16, 1 << 18
 _POS = np.uint64((1 << 22) - 1)
 _MUL = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _M64 = (1 << 64) - 1
+_LAST = np.iinfo(np.int64).max
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 @dataclass(frozen=True)
@@ -55,7 +57,7 @@ class Frame:
 
 
 def pack(**columns: np.ndarray) -> bytes:
-    """Columns of one length, each as differences, compressed together."""
+    """Columns of one length, 64-bit ones as differences, compressed together."""
     import zstandard
 
     parts = [len(next(iter(columns.values()))).to_bytes(4, "little")]
@@ -84,17 +86,57 @@ def unpack(blob: bytes, *types: type) -> list[np.ndarray]:
             size = np.dtype(t).itemsize
             out.append(np.frombuffer(raw, t, n, at))
             at += size * n
-    out.append(raw[at:])
     return out
 
 
-def gather(blobs: list[bytes], *types: type) -> list:
-    """unpack() of many blobs as one; the last item is the list of what came after the columns."""
-    got = [unpack(b, *types) for b in blobs]
-    return [*(np.concatenate([g[i] for g in got]) for i in range(len(types))), [g[-1] for g in got]]
+def pack_texts(texts: list[bytes], level: int = 3) -> bytes:
+    import zstandard
+
+    sizes = pack(size=np.fromiter(map(len, texts), np.int64, len(texts)))
+    return len(sizes).to_bytes(8, "little") + sizes + zstandard.ZstdCompressor(level=level).compress(b"".join(texts))
 
 
-# ---------------------------------------------------------------- hashing
+def unpack_texts(blob: bytes) -> list[bytes]:
+    import zstandard
+
+    n = 8 + int.from_bytes(blob[:8], "little")
+    ends = np.cumsum(unpack(blob[8:n], np.int64)[0]).tolist()
+    raw = zstandard.ZstdDecompressor().decompress(blob[n:])
+    return [raw[s:e] for s, e in zip([0, *ends[:-1]], ends, strict=True)]
+
+
+# ---------------------------------------------------------------- units
+
+
+@dataclass(frozen=True)
+class Laid:
+    """Texts side by side: their bytes, the unit that each text starts at (and one more), and where each
+    word starts and ends in the bytes; words are followed by one space each. Bytes are their own units."""
+
+    raw: bytes
+    first: np.ndarray
+    starts: np.ndarray | None
+    ends: np.ndarray | None
+
+    def between(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The byte ranges of units lo up to hi; no range is empty."""
+        return (lo, hi) if self.starts is None else (self.starts[lo], self.ends[hi - 1])
+
+
+def lay(texts: list[bytes], words: bool) -> Laid:
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    if not words:
+        return Laid(b"".join(texts), np.concatenate([[0], np.cumsum(sizes)]), None, None)
+    buf = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
+    space = _SPACE[buf]
+    after = np.concatenate([[True], space[:-1]]) if len(space) else space
+    begins = np.flatnonzero(~space & after)
+    first = np.searchsorted(begins, np.concatenate([[0], np.cumsum(sizes + 1)]))
+    size = np.flatnonzero(space & ~after) - begins
+    out = buf[~(space & after)]
+    out[_SPACE[out]] = 0x20
+    starts = np.cumsum(size + 1) - size - 1
+    return Laid(out.tobytes(), first, starts, starts + size)
 
 
 def _powers(n: int, base: int) -> np.ndarray:
@@ -112,22 +154,63 @@ _TABLE = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) *
 _cache: dict[str, np.ndarray] = {}
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of each word from prefix sums over the buffer."""
-    if len(_cache.get("up", ())) <= len(buf):
-        n = max(len(buf) + 1, FLUSH * 2)
-        _cache["up"], _cache["down"] = _powers(n, _MUL), _powers(n, pow(_MUL, -1, 1 << 64))
+def _hash_together(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each word from prefix sums over at most HASHED bytes."""
+    if "up" not in _cache or len(_cache["up"]) <= HASHED:
+        _cache["up"], _cache["down"] = _powers(HASHED + 1, _MUL), _powers(HASHED + 1, pow(_MUL, -1, 1 << 64))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_TABLE[buf] * _cache["up"][: len(buf)])])
     h = (sums[ends] - sums[starts]) * _cache["down"][starts]
     return h ^ (h >> np.uint64(31))
 
 
-def runs(units: np.ndarray, sizes: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, count, anchor hash) of the runs of windows with one anchor; windows don't cross pieces.
-    units: a hash of each unit; sizes: units of each piece."""
-    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    if len(units) < window:
-        return none
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each word, in memory that the longest word does not raise by more than its own size."""
+    import hashlib
+
+    out, i = np.empty(len(starts), np.uint64), 0
+    while i < len(starts):
+        a = int(starts[i])
+        j = int(np.searchsorted(ends, a + HASHED, "right"))
+        if j <= i:
+            j = i + 1
+            out[i] = int.from_bytes(hashlib.blake2b(buf[a : ends[i]], digest_size=8).digest(), "little")
+        else:
+            out[i:j] = _hash_together(buf[a : ends[j - 1]], starts[i:j] - a, ends[i:j] - a)
+        i = j
+    return out
+
+
+def unit_hashes(laid: Laid, lo: int, hi: int) -> np.ndarray:
+    buf = np.frombuffer(laid.raw, np.uint8)
+    if laid.starts is None:
+        return _TABLE[buf[lo:hi]]
+    return word_hashes(buf, laid.starts[lo:hi], laid.ends[lo:hi])
+
+
+def runs(laid: Laid, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, count, anchor hash) of the runs of windows with one anchor; no window leaves its text."""
+    total, found = int(laid.first[-1]), []
+    for lo in range(0, total, PIECE):
+        hi = min(total, lo + PIECE + window - 1)
+        if hi - lo < window:
+            break
+        a, b = np.searchsorted(laid.first, lo, "right") - 1, np.searchsorted(laid.first, hi, "left")
+        until = np.repeat(laid.first[a + 1 : b + 1], np.diff(np.clip(laid.first[a : b + 1], lo, hi)))
+        m = min(PIECE, hi - lo - window + 1)
+        at = np.flatnonzero(until[:m] >= np.arange(lo + window, lo + window + m))
+        if not len(at):
+            continue
+        h, least = _least_grams(unit_hashes(laid, lo, hi), window, gram)
+        anchor = (least[at] & _POS).astype(np.int64)
+        new = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+        found.append((at[new] + lo, np.diff(np.append(new, len(at))), h[anchor[new]]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return tuple(np.concatenate([f[i] for f in found]) for i in range(3))
+
+
+def _least_grams(units: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the grams, and of the grams in each window the least one, its place in the low bits."""
     h, step, p = units, 1, _MUL
     while step < gram:
         h = h[:-step] * np.uint64(p) + h[step:]
@@ -143,342 +226,307 @@ def runs(units: np.ndarray, sizes: np.ndarray, window: int, gram: int) -> tuple[
     if width > step:
         rest = width - step
         least = np.minimum(least[:-rest], least[rest:])
-    ends = np.cumsum(sizes)
-    ok = np.zeros(len(units) + 1, np.int8)
-    long = sizes >= window
-    np.add.at(ok, (ends - sizes)[long], 1)
-    np.add.at(ok, (ends - window + 1)[long], -1)
-    at = np.flatnonzero(np.cumsum(ok[:-1]))
-    if not len(at):
-        return none
-    anchor = (least[at] & _POS).astype(np.int64)
-    first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
-    return at[first], np.diff(np.append(first, len(at))), h[anchor[first]]
-
-
-def split_units(text: bytes, words: bool) -> tuple[bytes, np.ndarray, np.ndarray]:
-    """The text a document is judged by, and where its units start and end in it."""
-    if not words:
-        at = np.arange(len(text), dtype=np.int64)
-        return text, at, at + 1
-    found = text.split()  # at U+0020 and U+0009 to U+000D
-    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1]).astype(np.int64) if len(found) else ends
-    return b" ".join(found), starts, ends
+    return h, least
 
 
-def _pieces(rows: Iterator[tuple], frame: Frame) -> Iterator[list[tuple]]:
-    """Lists of (id, first unit, text, starts, ends, more), each list about FLUSH bytes; long texts come
-    in pieces that share window - 1 units. rows: id, text and more."""
-    held, size = [], 0
-    for row, raw, *more in rows:
-        text, starts, ends = split_units(raw, frame.words)
-        for at in range(0, max(len(starts) - frame.window + 1, 0), PIECE):
-            last = min(len(starts), at + PIECE + frame.window - 1)
-            lo, hi = int(starts[at]), int(ends[last - 1])
-            held.append((row, at, text[lo:hi], starts[at:last] - lo, ends[at:last] - lo, *more))
-            size += hi - lo
-            if size >= FLUSH:
-                yield held
-                held, size = [], 0
-    if held:
-        yield held
+# ---------------------------------------------------------------- batches
 
+CORPUS = "batch long, size long, docs binary, texts binary"
+SENT = "bucket long, batch long, blob binary"
 
-def _texts(batches: Iterator[pa.RecordBatch], *more: str) -> Iterator[tuple]:
-    for b in batches:
-        for at in range(0, b.num_rows, 256):
-            part = b.slice(at, 256)
-            yield from zip(part["row"].to_pylist(), part["text"].cast(pa.binary()).to_pylist(), *(part[m].to_pylist() for m in more), strict=True)
-
-
-def _packed(names: list[str], rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=names)
 
+@dataclass(frozen=True)
+class Batch:
+    """number; ids of the documents, nulls as 0 and marked; their texts; rank: documents in the order of
+    their ids, null last, equal ids with one rank."""
+
+    number: int
+    ids: np.ndarray
+    nulls: np.ndarray
+    texts: list[bytes]
+    rank: np.ndarray
+
+
+def ranked(ids: np.ndarray, nulls: np.ndarray) -> np.ndarray:
+    order = np.lexsort((ids, nulls))
+    i, n = ids[order], nulls[order]
+    out = np.empty(len(ids), np.int64)
+    out[order] = np.cumsum(np.concatenate([[0], (i[1:] != i[:-1]) | (n[1:] != n[:-1])]).astype(np.int64))[: len(ids)]
+    return out
 
-PACKED = "bucket long, blob binary"
 
+def batches(docs: DataFrame) -> DataFrame:
+    """The texts of docs (doc_id, text) in batches of BATCH_BYTES; a longer text is a batch of its own.
+    Null text is empty. To be written before use: the numbers hold for one run over docs only."""
 
-def _by_bucket(bucket: np.ndarray, make: Callable[[np.ndarray], bytes]) -> Iterator[tuple[int, bytes]]:
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-    for part in np.split(order, cuts):
-        if len(part):
-            yield int(bucket[part[0]]), make(part)
+    def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
+        nth, size, held = TaskContext.get().partitionId() << 32, 0, []
+
+        def close() -> pa.RecordBatch:
+            ids = np.array([h[0] or 0 for h in held], np.int64)
+            head = pack(id=ids, null=np.array([h[0] is None for h in held], np.uint8))
+            return _rows(["batch", "size", "docs", "texts"], [(nth, sum(len(h[1]) for h in held), head, pack_texts([h[1] for h in held], 1))])
+
+        for b in arrow:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                for doc, text in zip(part["doc_id"].to_pylist(), part["text"].cast(pa.binary()).to_pylist(), strict=True):
+                    if held and size + len(text) > BATCH_BYTES:
+                        yield close()
+                        nth, size, held = nth + 1, 0, []
+                    held.append((doc, text))
+                    size += len(text) + 16
+        if held:
+            yield close()
 
-# ---------------------------------------------------------------- the five steps
+    text = F.coalesce(F.col("text"), F.lit("")).alias("text")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(run, CORPUS)
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """(row, nth, doc_id, text): row orders by doc_id, null last, and tells rows of one doc_id apart; nth
-    is the number inside the id, so row - nth is one number for each doc_id, in their order.
+def _rows(names: list[str], rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"docs": pa.binary(), "texts": pa.binary(), "blob": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds.get(n, pa.int64())) for i, n in enumerate(names)], names=names)
 
-    Rows are doc_id << ROW_BITS plus nth where that is exact for all of them, else dense ranks."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    null = (1 << (62 - ROW_BITS)) - 1
-    seen = rows.groupBy("doc_id").count().agg(F.max("count").alias("most"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
-    most, low, high = seen["most"] or 0, seen["low"] or 0, seen["high"] or 0
-    if most > 1 << ROW_BITS or low < -null or high >= null:
-        return ranked(rows)
-    base = F.shiftleft(F.coalesce("doc_id", F.lit(null)), ROW_BITS)
-    if most <= 1:
-        return rows.select(base.alias("row"), F.lit(0).cast("long").alias("nth"), "doc_id", "text")
-    from pyspark.sql import Window
 
-    # only here, where ids repeat, the rows of one id are counted through
-    nth = (F.row_number().over(Window.partitionBy("doc_id").orderBy("text")) - 1).cast("long")
-    return rows.select(nth.alias("nth"), "doc_id", "text").select((base + F.col("nth")).alias("row"), "nth", "doc_id", "text")
+def opened(arrow: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """The batches of an Arrow stream, each with what its other columns, in order, hold for it."""
+    for whole in arrow:
+        for at in range(whole.num_rows):
+            row = whole.slice(at, 1)
+            ids, nulls = unpack(row["docs"][0].as_py(), np.int64, np.uint8)
+            more = [row[n][0].as_py() for n in row.schema.names if n not in ("batch", "docs", "texts")]
+            yield Batch(row["batch"][0].as_py(), ids, nulls, unpack_texts(row["texts"][0].as_py()), ranked(ids, nulls)), *more
 
 
-def ranked(rows: DataFrame) -> DataFrame:
-    """numbered() for any doc_ids and any number of rows of one: rows are dealt by ranges of doc_id and
-    text, so a hot id is many ranges, counted inside their range and moved on by what lies before it.
-    The driver holds one line a range. A draw splits even rows that are equal."""
-    order = [F.col("doc_id").asc_nulls_last(), F.col("text").asc(), F.col("draw_").asc()]
-    dealt = rows.withColumn("draw_", F.rand(5)).repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
+def _groups(sorted_: np.ndarray) -> np.ndarray:
+    """Where the groups of equal values start."""
+    return np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])) if len(sorted_) else np.zeros(0, np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
 
-        part, at, doc, start = TaskContext.get().partitionId(), 0, None, 0
-        for b in batches:
-            ids, n = b["doc_id"], b.num_rows
-            heads = np.zeros(n, np.int64)
-            for i, d in enumerate(ids.to_pylist()):
-                if at + i == 0 or d != doc:
-                    doc, start = d, at + i
-                heads[i] = start
-            place = np.arange(at, at + n)
-            at += n
-            same = pa.array(np.full(n, part, np.int64))
-            yield pa.RecordBatch.from_arrays([same, pa.array(place), pa.array(place - heads), ids, b["text"]], names=["part", "place", "inside", "doc_id", "text"])
-
-    held = materialize(dealt.mapInArrow(run, "part long, place long, inside long, doc_id long, text string"), "ranked-rows")
-    ranges = held.groupBy("part").agg(F.count("*").alias("n"), F.min_by("doc_id", "place").alias("first"), F.max_by("doc_id", "place").alias("last"), F.max_by("inside", "place").alias("inside")).orderBy("part").collect()
-    # rows before each range, and how many of these at its head go on with its first id
-    before, lines, run_on, last = 0, [], 0, None
-    for k, r in enumerate(ranges):
-        on = run_on if k and r["first"] == last else 0
-        lines.append((r["part"], before, on, r["first"]))
-        # an id that fills the range goes on from what it had
-        run_on = r["inside"] + 1 + (on if r["first"] == r["last"] else 0)
-        before, last = before + r["n"], r["last"]
-    moves = rows.sparkSession.createDataFrame(lines, "part long, before long, on long, first long")
-    nth = F.col("inside") + F.when(F.col("doc_id").eqNullSafe(F.col("first")), F.col("on")).otherwise(F.lit(0).cast("long"))
-    return held.join(F.broadcast(moves), "part").select((F.col("before") + F.col("place")).alias("row"), nth.alias("nth"), "doc_id", "text")
-
-
-def anchors(rows: DataFrame, frame: Frame, buckets: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in _pieces(_texts(batches, "nth"), frame):
-            sizes = np.array([len(h[3]) for h in held])
-            if frame.words:
-                buf = np.frombuffer(b" ".join(h[2] for h in held), np.uint8)
-                shift = np.repeat(np.cumsum([0] + [len(h[2]) + 1 for h in held[:-1]]), sizes)
-                units = word_hashes(buf, np.concatenate([h[3] for h in held]) + shift, np.concatenate([h[4] for h in held]) + shift)
-            else:
-                units = _TABLE[np.frombuffer(b"".join(h[2] for h in held), np.uint8)]
-            start, count, hashes = runs(units, sizes, frame.window, frame.gram)
-            first = np.cumsum(sizes) - sizes
-            piece = np.searchsorted(first, start, "right") - 1
-            row = np.array([h[0] for h in held], np.int64)[piece]
-            nth = np.array([h[5] for h in held], np.int64)[piece]
-            at = start - first[piece] + np.array([h[1] for h in held], np.int64)[piece]
-            bucket = ((hashes >> np.uint64(34)) % np.uint64(buckets)).astype(np.int64)
-            short = hashes.astype(np.uint32)
-            make = lambda i: pack(row=row[i], at=at[i], nth=nth[i], key=short[i], count=count[i].astype(np.uint8))
-            yield _packed(["bucket", "blob"], list(_by_bucket(bucket, make)))
-
-    return rows.select("row", "nth", "text").mapInArrow(run, PACKED)
-
-
-def repeated(packed: DataFrame, row_buckets: int) -> DataFrame:
-    """Entries whose anchor occurs in two documents, dealt by document."""
-
-    def run(key, table):
-        row, at, nth, short, count, _ = gather(table["blob"].to_pylist(), np.int64, np.int64, np.int64, np.uint32, np.uint8)
-        order = np.lexsort((row, short))
-        s, d = short[order], (row - nth)[order]
-        new = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-        size = np.diff(np.append(new, len(s)))
-        twice = np.repeat(d[new] != d[new + size - 1], size)
-        i = np.sort(order[twice])
-        i = i[np.lexsort((at[i], row[i]))]
-        bucket = np.full(len(i), key[0].as_py(), np.uint32)
-        make = lambda j: pack(row=row[i[j]], at=at[i[j]], key=short[i[j]], bucket=bucket[j], count=count[i[j]])
-        return pa.Table.from_batches([_packed(["bucket", "blob"], list(_by_bucket(_deal(row[i], row_buckets), make)))])
-
-    return packed.groupBy("bucket").applyInArrow(run, PACKED)
-
-
-def _deal(row: np.ndarray, buckets: int) -> np.ndarray:
-    return ((row.astype(np.uint64) * np.uint64(_MUL) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
-
-
-def _per_row(packed: DataFrame, types: list[type], column: str) -> DataFrame:
-    """One packed value for each document: its entries, by place."""
+def _spread(batch: Batch, docs: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each group of docs (places in the batch) the one of least and the one of greatest rank."""
+    key = batch.rank[docs] * (len(batch.ids) + 1) + docs
+    return tuple(f.reduceat(key, starts) % (len(batch.ids) + 1) for f in (np.minimum, np.maximum))
 
-    def run(table):
-        cols = gather(table["blob"].to_pylist(), *types)[:-1]
-        order = np.lexsort((cols[1], cols[0]))
-        cols = [c[order] for c in cols]
-        new = np.flatnonzero(np.concatenate([[True], cols[0][1:] != cols[0][:-1]]))
-        ends = np.append(new[1:], len(order))
-        blobs = [pack(**{str(i): c[s:e] for i, c in enumerate(cols[1:])}) for s, e in zip(new, ends, strict=True)]
-        return pa.table({"row_": pa.array(cols[0][new], pa.int64()), column: pa.array(blobs, pa.binary())})
-
-    return packed.groupBy("bucket").applyInArrow(run, f"row_ long, {column} binary")
-
-
-def contexts(rows: DataFrame, hits: DataFrame, frame: Frame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size = 0
-
-        def flush() -> pa.RecordBatch:
-            row, nth, at, short, bucket, count = (np.concatenate([h[j] for h in held]) for j in range(6))
-            texts = [t for h in held for t in h[6]]
-            return _packed(["bucket", "blob"], list(_by_bucket(bucket.astype(np.int64), lambda i: _with_texts(i, row, nth, at, short, count, texts))))
-
-        for row, raw, nth, blob in _texts(batches, "nth", "hits"):
-            text, starts, ends = split_units(raw, frame.words)
-            at, short, bucket, count, _ = unpack(blob, np.int64, np.uint32, np.uint32, np.uint8)
-            lo = starts[at]
-            hi = ends[at + count.astype(np.int64) + frame.window - 2]
-            held.append((np.full(len(at), row, np.int64), np.full(len(at), nth, np.int64), at, short, bucket, count, [text[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]))
-            size += int((hi - lo).sum())
-            if size >= 4 * FLUSH:
-                yield flush()
-                held, size = [], 0
-        if held:
-            yield flush()
 
-    joined = rows.select("row", "nth", "text").join(hits, F.col("row") == F.col("row_")).select("row", "nth", "text", "hits")
-    return joined.mapInArrow(run, PACKED)
+def _buckets(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    return ((hashes >> np.uint64(34)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _with_texts(i: np.ndarray, row, nth, at, short, count, texts: list[bytes]) -> bytes:
-    """Entries with their texts; a text that many entries share is held once."""
-    import zstandard
+def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    order = np.argsort(bucket, kind="stable")
+    for part in np.split(order, _groups(bucket[order])[1:]):
+        if len(part):
+            yield int(bucket[part[0]]), part
 
-    known: dict[bytes, int] = {}
-    which = np.fromiter((known.setdefault(texts[j], len(known)) for j in i), np.uint32, len(i))
-    head = pack(row=row[i], at=at[i], nth=nth[i], key=short[i], count=count[i], which=which)
-    body = list(known)
-    tail = pack(size=np.fromiter(map(len, body), np.uint32, len(body)))
-    return len(head).to_bytes(4, "little") + len(tail).to_bytes(4, "little") + head + tail + zstandard.ZstdCompressor(level=3).compress(b"".join(body))
 
+def anchors(corpus: DataFrame, frame: Frame, buckets: int) -> DataFrame:
+    """Each anchor of a batch once, with its least document and whether the batch has it in two."""
 
-def read_blob(blob: bytes) -> tuple[list[np.ndarray], list[bytes]]:
-    import zstandard
+    def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (batch,) in opened(arrow):
+            laid = lay(batch.texts, frame.words)
+            start, _, hashes = runs(laid, frame.window, frame.gram)
+            if not len(start):
+                continue
+            doc = np.searchsorted(laid.first, start, "right") - 1
+            order = np.argsort(hashes, kind="stable")
+            at = _groups(hashes[order])
+            low, high = _spread(batch, doc[order], at)
+            two, hashes = batch.rank[low] != batch.rank[high], hashes[order][at]
+            place = np.argsort(low, kind="stable")  # by document, so that ids differ by little
+            low, two, hashes = low[place], two[place], hashes[place]
+            short, ids, nulls = hashes.astype(np.uint32), batch.ids[low], batch.nulls[low]
+            blob = lambda i: pack(id=ids[i], key=short[i], two=(two[i] * 2 + nulls[i]).astype(np.uint8))  # noqa: E731, B023
+            yield _rows(["bucket", "batch", "blob"], [(b, batch.number, blob(i)) for b, i in _by_bucket(_buckets(hashes, buckets))])
 
-    n, m = int.from_bytes(blob[:4], "little"), int.from_bytes(blob[4:8], "little")
-    cols = unpack(blob[8 : 8 + n], np.int64, np.int64, np.int64, np.uint32, np.uint8, np.uint32)[:-1]
-    ends = np.cumsum(unpack(blob[8 + n : 8 + n + m], np.uint32)[0].astype(np.int64)).tolist()
-    raw = zstandard.ZstdDecompressor().decompress(blob[8 + n + m :])
-    return cols, [raw[s:e] for s, e in zip([0, *ends[:-1]], ends, strict=True)]
+    return corpus.select("batch", "docs", "texts").mapInArrow(run, SENT)
 
 
-def verdicts(packed: DataFrame, frame: Frame, row_buckets: int) -> DataFrame:
-    """(row, first unit, unit after the last) of what smaller documents have too, dealt by document."""
+def repeated(sent: DataFrame) -> DataFrame:
+    """(batch, hits): for each batch its anchors that two documents have, as bucket << 32 | key."""
 
     def run(table):
-        found = judge(table["blob"].to_pylist(), frame)
-        make = lambda i: pack(row=found.row[i], start=found.start[i], end=found.end[i])
-        return pa.Table.from_batches([_packed(["bucket", "blob"], list(_by_bucket(_deal(found.row, row_buckets), make)))])
-
-    return packed.groupBy("bucket").applyInArrow(run, PACKED)
+        got = [unpack(b, np.int64, np.uint32, np.uint8) for b in table["blob"].to_pylist()]
+        ids, key, mark = (np.concatenate([g[i] for g in got]) for i in range(3))
+        order = np.argsort(key, kind="stable")
+        at, i, null = _groups(key[order]), ids[order], mark[order] & 1
+        differ = np.minimum.reduceat(i, at) != np.maximum.reduceat(i, at)
+        differ |= np.minimum.reduceat(null, at) != np.maximum.reduceat(null, at)
+        differ |= np.maximum.reduceat(mark[order], at) > 1
+        hit = np.empty(len(key), bool)
+        hit[order] = np.repeat(differ, np.diff(np.append(at, len(key))))
+        cuts = np.cumsum([len(g[0]) for g in got])[:-1]
+        bucket = table["bucket"][0].as_py()
+        out = [(n, pack(key=np.sort(k[h].astype(np.int64)) | (bucket << 32))) for n, k, h in zip(table["batch"].to_pylist(), np.split(key, cuts), np.split(hit, cuts), strict=True) if h.any()]
+        return pa.Table.from_batches([_rows(["batch", "blob"], out)])
+
+    return sent.groupBy("bucket").applyInArrow(run, "batch long, blob binary").groupBy("batch").agg(F.collect_list("blob").alias("hits"))
 
 
 @dataclass(frozen=True)
-class Runs:
-    """What a reducer finds. For each entry that loses windows: row, start, end (units), run. For each
-    such run: the text it lies in, its first window there, its windows, the least document that has it."""
-
-    row: np.ndarray
-    start: np.ndarray
-    end: np.ndarray
-    run: np.ndarray
-    text: list[bytes]
-    first: np.ndarray
-    count: np.ndarray
-    least: np.ndarray
-
-
-def judge(blobs: list[bytes], frame: Frame) -> Runs:
-    known: dict[bytes, int] = {}
-    cols: list[list[np.ndarray]] = []
-    for blob in blobs:
-        own, body = read_blob(blob)
-        ids = np.fromiter((known.setdefault(t, len(known)) for t in body), np.int64, len(body))
-        cols.append([*own[:5], ids[own[5]]])
-    row, at, nth, short, count, context = (np.concatenate([c[j] for c in cols]) for j in range(6))
-    texts = list(known)
-    n = len(texts)
-    doc = row - nth
-    count = count.astype(np.int64)
-    least = np.full(n, np.iinfo(np.int64).max)
-    np.minimum.at(least, context, doc)
-    n_windows, key = np.zeros(n, np.int64), np.zeros(n, np.uint32)
-    n_windows[context], key[context] = count, short
-    # windows are compared where one anchor has several contexts; alone, a context's windows have its documents
-    order = np.argsort(key, kind="stable")
-    new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
-    size = np.diff(np.append(np.flatnonzero(new), n))
-    several = np.zeros(n, bool)
-    several[order] = np.repeat(size > 1, size)
-    first = np.cumsum(n_windows) - n_windows
-    per_window = np.repeat(least, n_windows)
-    several = np.flatnonzero(several)
-    if len(several):
-        classes = frame.classes([texts[j] for j in several], n_windows[several], frame.window)
-        where = np.repeat(first[several] - (np.cumsum(n_windows[several]) - n_windows[several]), n_windows[several]) + np.arange(n_windows[several].sum())
-        best = np.full(classes.max() + 1, np.iinfo(np.int64).max)
-        np.minimum.at(best, classes, per_window[where])
-        per_window[where] = best[classes]
-    # a run: windows of one context, one after the other, that have the same least document
-    of = np.repeat(np.arange(n), n_windows)
-    new = np.concatenate([[True], (of[1:] != of[:-1]) | (per_window[1:] != per_window[:-1])])
-    run_at, run_of = np.flatnonzero(new), np.cumsum(new) - 1
-    # the runs that a smaller document has, entry by entry
-    entry = np.repeat(np.arange(len(row)), count)
-    window = first[context[entry]] + np.arange(len(entry)) - np.repeat(np.cumsum(count) - count, count)
-    lost = new[window] & (per_window[window] < doc[entry])
-    entry, window = entry[lost], window[lost]
-    run = run_of[window]
-    used, run = np.unique(run, return_inverse=True)
-    length = np.diff(np.append(run_at, len(of)))[used]
-    start = at[entry] + window - first[context[entry]]
-    end = start + length[run] + frame.window - 1
-    order = np.lexsort((start, row[entry]))
-    head = run_at[used]
-    return Runs(row[entry][order], start[order], end[order], run[order], [texts[j] for j in of[head]], head - first[of[head]], length, per_window[head])
+class Found:
+    """The runs of a batch at repeated anchors, by bucket and in the order of the batch: where they start,
+    their document (a place in the batch), and which of the bucket's texts they are. texts: for each
+    bucket its distinct texts, with key and number of windows."""
+
+    laid: Laid
+    start: dict[int, np.ndarray]
+    doc: dict[int, np.ndarray]
+    which: dict[int, np.ndarray]
+    texts: dict[int, tuple[list[bytes], np.ndarray, np.ndarray]]
+
+
+def find(batch: Batch, hits: list[bytes], frame: Frame, buckets: int) -> Found:
+    """The same for the same batch and hits, so both passes over the batches number texts alike."""
+    laid = lay(batch.texts, frame.words)
+    start, count, hashes = runs(laid, frame.window, frame.gram)
+    wanted = np.sort(np.concatenate([unpack(h, np.int64)[0] for h in hits]))
+    bucket, short = _buckets(hashes, buckets), hashes.astype(np.uint32)
+    code = bucket << 32 | short
+    place = np.minimum(np.searchsorted(wanted, code), len(wanted) - 1)
+    i = np.flatnonzero(wanted[place] == code)
+    start, count, bucket, short = start[i], count[i], bucket[i], short[i]
+    doc = np.searchsorted(laid.first, start, "right") - 1
+    lo, hi = laid.between(start, start + count + frame.window - 1)
+    raw, out = laid.raw, Found(laid, {}, {}, {}, {})
+    for b, i in _by_bucket(bucket):
+        known: dict[bytes, int] = {}
+        which = np.fromiter((known.setdefault(raw[s:e], len(known)) for s, e in zip(lo[i].tolist(), hi[i].tolist(), strict=True)), np.int64, len(i))
+        head = np.empty(len(known), np.int64)
+        head[which[::-1]] = i[::-1]
+        out.start[b], out.doc[b], out.which[b], out.texts[b] = start[i], doc[i], which, (list(known), short[head], count[head])
+    return out
+
+
+def contexts(narrow: DataFrame, frame: Frame, buckets: int) -> DataFrame:
+    """The texts of the runs at repeated anchors, each once a batch, with its least and greatest document."""
+
+    def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, hits in opened(arrow):
+            found, out = find(batch, hits, frame, buckets), []
+            for b, (texts, key, count) in found.texts.items():
+                order = np.argsort(found.which[b], kind="stable")
+                low, high = _spread(batch, found.doc[b][order], _groups(found.which[b][order]))
+                ids, nulls = batch.ids, batch.nulls
+                marks = (nulls[low] + 2 * nulls[high]).astype(np.uint8)
+                head = pack(low=ids[low], high=ids[high], key=key, count=count.astype(np.uint32), null=marks)
+                out.append((b, batch.number, len(head).to_bytes(4, "little") + head + pack_texts(texts)))
+            if out:
+                yield _rows(["bucket", "batch", "blob"], out)
+
+    return narrow.select("batch", "docs", "texts", "hits").mapInArrow(run, SENT)
+
+
+class Meeting:
+    """What a reducer knows of the windows at its anchors.
+
+    texts: the distinct texts; first, count: their windows, numbered one text after the other; least: the
+    rank of the least document that has each window, most: that of the greatest; ids, nulls: the
+    documents by rank. Of each batch that sent something: its number, the texts it sent, the greatest
+    rank it has of each."""
+
+    def __init__(self, table, frame: Frame):
+        known: dict[bytes, int] = {}
+        which, cols = [], []
+        for blob in table["blob"].to_pylist():
+            n = 4 + int.from_bytes(blob[:4], "little")
+            body = unpack_texts(blob[n:])
+            which.append(np.fromiter((known.setdefault(t, len(known)) for t in body), np.int64, len(body)))
+            cols.append(unpack(blob[4:n], np.int64, np.int64, np.uint32, np.uint32, np.uint8))
+        low, high, key, count, null = (np.concatenate([c[j] for c in cols]) for j in range(5))
+        rank = ranked(np.concatenate([low, high]), np.concatenate([null & 1, null >> 1]))
+        place = np.argsort(rank, kind="stable")
+        place = place[_groups(rank[place])]
+        self.ids, self.nulls = np.concatenate([low, high])[place], np.concatenate([null & 1, null >> 1])[place]
+        low, high = rank[: len(low)], rank[len(low) :]
+        self.batch, self.which = table["batch"].to_pylist(), which
+        self.high = np.split(high, np.cumsum([len(w) for w in which])[:-1])
+        self.texts, all_ = list(known), np.concatenate(which)
+        n = len(self.texts)
+        self.count, short = np.zeros(n, np.int64), np.zeros(n, np.uint32)
+        self.count[all_], short[all_] = count, key
+        least, most = np.full(n, _LAST), np.full(n, -1)
+        np.minimum.at(least, all_, low)
+        np.maximum.at(most, all_, high)
+        self.first = np.cumsum(self.count) - self.count
+        self.least, self.most = np.repeat(least, self.count), np.repeat(most, self.count)
+        # windows are compared where one anchor has several texts; alone, a text's windows have its documents
+        order = np.argsort(short, kind="stable")
+        size = np.diff(np.append(_groups(short[order]), n))
+        several = np.sort(order[np.repeat(size > 1, size)])
+        self.classes = -1 - np.arange(len(self.least))
+        if len(several):
+            counts = self.count[several]
+            classes = frame.classes([self.texts[j] for j in several], counts, frame.window)
+            where = np.repeat(self.first[several] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+            low, high = np.full(classes.max() + 1, _LAST), np.full(classes.max() + 1, -1)
+            np.minimum.at(low, classes, self.least[where])
+            np.maximum.at(high, classes, self.most[where])
+            self.classes[where], self.least[where], self.most[where] = classes, low[classes], high[classes]
+
+    def stretches(self, new: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Cut all windows where new says, and between texts: (text, first window in it, windows) of each."""
+        of = np.repeat(np.arange(len(self.texts)), self.count)
+        new[0], new[1:] = True, new[1:] | (of[1:] != of[:-1])
+        at = np.flatnonzero(new)
+        return of[at], at - self.first[of[at]], np.diff(np.append(at, len(of)))
+
+
+def ragged(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For groups of these sizes: the group of each member, and its number in it."""
+    group = np.repeat(np.arange(len(counts)), counts)
+    return group, np.arange(len(group)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def picked(owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """owner, sorted, holds numbers below n: where each one's group starts, and how long it is."""
+    size = np.bincount(owner, minlength=n)
+    return np.cumsum(size) - size, size
 
 
 def spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Maximal spans of intervals that are sorted by start; touching ones join."""
+    if not len(starts):
+        return starts, ends
     reach = np.maximum.accumulate(ends)
     new = np.flatnonzero(np.concatenate([[True], starts[1:] > reach[:-1]]))
     return starts[new], reach[np.append(new[1:], len(starts)) - 1]
 
 
-def narrowed(docs: DataFrame, frame: Frame) -> tuple[DataFrame, DataFrame, DataFrame, int]:
-    """The numbered rows, the packed contexts of windows that may repeat, the table of their places
-    (to be discarded after use), and the number of buckets."""
-    rows = numbered(docs)
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+def later(ids: np.ndarray, nulls: np.ndarray, than_ids: np.ndarray, than_nulls: np.ndarray) -> np.ndarray:
+    """Whether documents come after others in the order of ids, null last."""
+    return (nulls > than_nulls) | ((nulls == than_nulls) & (ids > than_ids))
+
+
+@dataclass(frozen=True)
+class Narrowed:
+    corpus: DataFrame
+    hits: DataFrame
+    sent: DataFrame
+    buckets: int
+
+
+def narrowed(docs: DataFrame, frame: Frame) -> Narrowed:
+    """The written batches, their repeated anchors, the contexts that batches send (not yet written), and
+    the number of buckets."""
+    corpus = materialize(batches(docs), "window-batches")
+    total = corpus.agg(F.sum("size")).first()[0] or 0
     buckets = max(8, -(-total // BUCKET_BYTES))
-    hits = materialize(_per_row(repeated(anchors(rows, frame, buckets), buckets), [np.int64, np.int64, np.uint32, np.uint32, np.uint8], "hits"), "window-hits")
+    hits = materialize(repeated(anchors(corpus, frame, buckets)), "window-hits")
     release(docs.sparkSession)
-    return rows, contexts(rows, hits, frame), hits, buckets
+    return Narrowed(corpus, hits, contexts(corpus.join(hits, "batch"), frame, buckets), buckets)
 
 
-def repeats(docs: DataFrame, frame: Frame) -> DataFrame:
-    """(row, doc_id, text, gone): each row of docs with its packed spans of repeated windows, or null."""
-    rows, packed, hits, buckets = narrowed(docs, frame)
-    gone = materialize(_per_row(verdicts(packed, frame, buckets), [np.int64, np.int64, np.int64], "gone"), "window-spans")
-    del packed
-    discard(hits)
-    release(docs.sparkSession)
-    return rows.join(gone, F.col("row") == F.col("row_"), "left").select("row", "doc_id", "text", "gone")
+def judged(n: Narrowed, found: DataFrame) -> DataFrame:
+    """The batches with hits and found (batch, blob) gathered as lists; null where a batch has none."""
+    gathered = found.groupBy("batch").agg(F.collect_list("blob").alias("found"))
+    return n.corpus.join(n.hits.join(gathered, "batch"), "batch", "left").select("batch", "docs", "texts", "hits", "found")
+
+
+
+def slices(batch: pa.RecordBatch, rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from orrery.llm import graph, queries, suffixes, windows
 
@@ -74,16 +75,6 @@ def test_ids_of_64_bits(spark):
     assert sorted([(r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept).hexdigest()) for r in got], key=str) == sorted([(w[0], w[1], w[2], w[4]) for w in words], key=str)
 
 
-def test_more_rows_of_one_id_than_low_bits(spark, monkeypatch):
-    """Over the room of ROW_BITS rows are ranked; ids and rows inside them go over ranges' borders."""
-    monkeypatch.setattr(windows, "ROW_BITS", 4)
-    rows = [(d, f"t{i % 7}") for d, n in ((None, 50), (2, 40), (1, 3), (5, 1), (9, 17)) for i in range(n)]
-    got = windows.numbered(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
-    assert sorted(r.row for r in got) == list(range(len(rows))) and sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(rows, key=str)
-    heads = {(r.doc_id, r.row - r.nth) for r in got}
-    assert heads == {(1, 0), (2, 3), (5, 43), (9, 44), (None, 61)}
-
-
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert suffixes.remove_repeated_bytes(df).isEmpty() and graph.remove_repeated_words(df).isEmpty()
@@ -92,18 +83,37 @@ def test_empty(spark):
 def test_suffix_order_is_lexicographic():
     rng = np.random.default_rng(1)
     raw = rng.choice(np.frombuffer(b"ab", np.uint8), 900)
-    buf = np.concatenate([raw, np.zeros(3 * suffixes._DEPTH, np.uint8)])
+    buf = np.concatenate([raw, np.zeros(3 * suffixes.reach(50), np.uint8)])
     text = buf.tobytes()
     got = suffixes.suffix_order(buf, np.arange(900))
     assert [text[i : i + 50] for i in got] == sorted(text[i : i + 50] for i in range(900))
 
 
-def test_pieces_of_long_texts_agree(spark, monkeypatch):
-    monkeypatch.setattr(windows, "PIECE", 700)
+def test_pieces_of_long_texts_agree(monkeypatch):
+    """Cut at any place, the runs hold each window once, under the same anchor."""
     rng = random.Random(4)
-    text = bytes(rng.choices(b"ab", k=3000))
-    whole = [(r, at) for r, at, *_ in sum(windows._pieces(iter([(1, text)]), suffixes.FRAME), [])]
-    assert [at for _, at in whole] == [0, 700, 1400, 2100, 2800]
+    texts = [bytes(rng.choices(b"ab", k=3000)), b"", b"a" * 49, bytes(rng.choices(b"ab", k=50))]
+    laid = windows.lay(texts, False)
+
+    def held():
+        return sorted((s + j, h) for s, n, h in zip(*(x.tolist() for x in windows.runs(laid, 50, 16)), strict=True) for j in range(n))
+
+    whole = held()
+    assert [w[0] for w in whole] == [*range(2951), 3049]
+    monkeypatch.setattr(windows, "PIECE", 700)
+    assert held() == whole
+
+
+def test_words_are_laid_side_by_side(monkeypatch):
+    texts = [b"  one\ttwo\n", b"", b" \x0b", b"three", b"four  five\r"]
+    laid = windows.lay(texts, True)
+    assert laid.first.tolist() == [0, 2, 2, 2, 3, 5]
+    assert [laid.raw[a:b] for a, b in zip(laid.starts, laid.ends, strict=True)] == b" ".join(texts).split()
+    whole = windows.unit_hashes(laid, 0, 5)
+    monkeypatch.setattr(windows, "HASHED", 6)
+    windows._cache.clear()
+    assert (windows.unit_hashes(laid, 1, 4) == whole[1:4]).all()
+    windows._cache.clear()
 
 
 def test_unpack_is_inverse():
@@ -120,20 +130,66 @@ def test_op2_on_the_table(spark):
     assert got == brute(rows, lambda b: [b[i : i + 1] for i in range(len(b))], 50, b"".join)
 
 
-def test_paths_are_compacted(spark):
-    """One long passage in three documents becomes one span in each later one, over many anchors."""
-    rng = random.Random(9)
-    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+PASSAGE_RNG = random.Random(9)
+
+
+def _passage_docs(n=3):
+    word = lambda: "".join(PASSAGE_RNG.choices("abcdefgh", k=5))
     passage = [word() for _ in range(300)]
-    rows = [(d, " ".join([word() for _ in range(20)] + passage + [word() for _ in range(20)])) for d in range(3)]
-    _, gone = graph.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"), graph.FRAME)
-    spans = [(r.row_ >> windows.ROW_BITS, [tuple(g) for g in r.gone]) for r in gone.collect()]
-    assert sorted(spans) == [(1, [(20, 320)]), (2, [(20, 320)])]
+    return [(d, " ".join([word() for _ in range(20)] + passage + [word() for _ in range(20)])) for d in range(n)]
+
+
+def test_paths_are_compacted(spark):
+    """One long passage in three documents, over many anchors, becomes one path."""
+    docs = spark.createDataFrame(_passage_docs(), "doc_id long, text string")
+    n = windows.narrowed(docs, graph.FRAME)
+    paths = graph.local_paths(n.sent, graph.FRAME).filter("path is not null").select("path", "head", "tail", "n", "least", "null").cache()
+    assert paths.count() > 20 and paths.groupBy().sum("n").first()[0] == 288
+    units = graph.compacted(paths).collect()
+    assert len({u.unitig for u in units}) == 1 and len(units) == paths.count()
+    sizes = {p.path: p.n for p in paths.collect()}
+    at = 0
+    for u in sorted(units, key=lambda u: u.offset):
+        assert u.offset == at
+        at += sizes[u.path]
+
+
+def test_compacted_paths_decide(spark, monkeypatch):
+    """What is removed is read off the compacted paths: with another least document there, other text goes."""
+    docs = spark.createDataFrame(_passage_docs(), "doc_id long, text string")
+    removed = lambda: {r.doc_id: r.n_removed for r in graph.remove_repeated_words(docs).collect()}
+    assert removed() == {0: 0, 1: 300, 2: 300}
+    true = graph.compacted
+    monkeypatch.setattr(graph, "compacted", lambda paths: true(paths).withColumn("least", F.lit(1).cast("long")))
+    assert removed() == {0: 0, 1: 0, 2: 300}
 
 
 def test_rings_and_gaps(spark):
-    ring = spark.createDataFrame([(1, 10, 11, 2, 0), (2, 11, 10, 3, 0), (3, 20, 21, 4, 0), (4, 21, 22, 5, 0)], "path long, head long, tail long, n long, least long")
+    cols = "path long, head long, tail long, n long, least long, null long"
+    ring = spark.createDataFrame([(1, 10, 11, 2, 0, 0), (2, 11, 10, 3, 0, 0), (3, 20, 21, 4, 0, 0), (4, 21, 22, 5, 0, 0), (5, 22, 23, 1, 7, 0)], cols)
     units = graph.compacted(ring)
-    assert sorted(map(tuple, units.select("path", "unitig", "offset").collect())) == [(1, 1, 0), (2, 2, 0), (3, 3, 0), (4, 3, 4)]
-    places = spark.createDataFrame([(3, 7, 0, 16), (4, 7, 4, 21), (3, 8, 5, 21), (4, 8, 90, 107)], "path long, row_ long, start long, end long")
-    assert sorted(map(tuple, graph.joined_places(places, units, 13).collect())) == [(7, 0, 21), (8, 5, 21), (8, 90, 107)]
+    assert sorted(map(tuple, units.select("path", "unitig", "offset").collect())) == [(3, 3, 0), (4, 3, 4)]
+    a = lambda *x: np.array(x, np.int64)
+    first, start, end = graph.path_runs(a(7, 7, 8, 8), a(0, 4, 5, 90), a(4, 5, 4, 5), a(3, 3, 3, 3), a(0, 4, 0, 4))
+    assert sorted(zip(first.tolist(), start.tolist(), end.tolist(), strict=True)) == [(0, 0, 9), (2, 5, 9), (3, 90, 95)]
+
+
+def test_unbranched_edges():
+    edge = np.array([0, 1, 2, 3, 0, 1, 4, 5, 6, 5])
+    follows = np.array([1, 1, 1, 0, 1, 1, 0, 1, 1], bool)
+    first, before = graph.unbranched(edge, follows, np.zeros(7, np.int64), 7)
+    # 1 goes on to 2 and to 4; 5 and 6 go round
+    assert first.tolist() == [0, 0, 2, 2, 4, 5, 6] and before.tolist() == [0, 1, 0, 1, 0, 0, 0]
+
+
+def test_long_repeats_need_deeper_names():
+    rng = np.random.default_rng(2)
+    own = [rng.choice(np.frombuffer(b"ab", np.uint8), 150).tobytes() for _ in range(3)]
+    texts = [own[0] + own[1], own[2] + own[1], own[0][:120] + own[2]]
+    counts = np.array([len(t) - 119 for t in texts])
+    got = suffixes.suffix_classes(texts, counts, 120)
+    windows_ = [t[i : i + 120] for t, n in zip(texts, counts.tolist(), strict=True) for i in range(n)]
+    names = {}
+    assert len(set(got.tolist())) == len(set(windows_))
+    for w, g in zip(windows_, got.tolist(), strict=True):
+        assert names.setdefault(w, g) == g
