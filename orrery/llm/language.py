@@ -1,9 +1,11 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-A position is a frame of four bytes of the lower-cased text. Texts are cut into stretches of 64 frames, all of which are read;
-the network runs over each stretch both ways and labels every frame; a document's probabilities are
-the mean over its frames. It is trained here, in numpy, by backpropagation through time, on stretches
-of a bounded sample of the documents.
+Every byte of the lower-cased text is a position. The network runs over the text both ways and labels
+every position; a document's probabilities are the mean over its positions. Long texts are cut into
+stretches that are read side by side; the states are run in over the bytes before and after a stretch,
+so that no position is labelled out of context. The network is trained here, in numpy, by
+backpropagation through time, on stretches of a bounded sample of the documents. One more label, for no
+language, is learnt from the same stretches with their bytes shuffled.
 """
 
 from __future__ import annotations
@@ -17,13 +19,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
-FRAME, STRETCH = 4, 64
-EMBED, HIDDEN = 8, 16
-#: The training sample: documents a language at most, and in all; stretches a document; languages.
-PER_LANGUAGE, IN_ALL, PER_DOCUMENT, LANGUAGES = 600, 4000, 2, 256
-EPOCHS, BATCH, RATE = 8, 128, 0.02
+#: Bytes of a stretch, bytes on each side of it that run the states in, and units of the network each way.
+STRETCH, CONTEXT, HIDDEN = 256, 32, 12
+#: The training sample: documents a language at most, and in all (one of each language at least);
+#: stretches a document and their bytes.
+PER_LANGUAGE, IN_ALL, PER_DOCUMENT, LEARNT = 600, 4000, 2, 128
+EPOCHS, BATCH, RATE = 6, 128, 0.02
+#: One stretch in so many is learnt a second time, shuffled, as no language.
+SHUFFLED = 4
 #: Stretches labelled at once.
-AT_ONCE = 1024
+AT_ONCE = 512
 
 
 @lru_cache(1)
@@ -33,114 +38,113 @@ def _letter():
     return regex.compile(r"\p{L}").search
 
 
-def frames(text: bytes) -> np.ndarray:
-    """(stretches, STRETCH, FRAME) bytes and zeros after the end."""
-    size = FRAME * STRETCH
-    n = max(1, -(-len(text) // size))
-    return np.frombuffer(text.ljust(n * size, b"\0"), np.uint8).reshape(n, STRETCH, FRAME)
-
-
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
+def _side_by_side(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(time, batch) bytes with zeros after the ends, and the lengths."""
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    longest = int(size.max())
+    return np.frombuffer(b"".join(t.ljust(longest, b"\0") for t in texts), np.uint8).reshape(len(texts), longest).T, size
+
+
 class Network:
-    """The weights, by name. Gates in columns: reset, update, candidate; w: from the input, u: from the state."""
+    """The weights, by name. t: what each byte adds to the gates, u: what the state adds. Gates in rows:
+    reset, update, candidate. Labels are the languages and, last, none."""
 
     def __init__(self, languages: list[str], seed: int = 3):
         rng = np.random.default_rng(seed)
-        normal = lambda *s: (rng.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
+        normal = lambda *s: (rng.standard_normal(s) / np.sqrt(s[-1])).astype(np.float32)
         self.languages = languages
-        self.p = {"embed": normal(256, EMBED), "out": normal(2 * HIDDEN, len(languages)), "out_b": np.zeros(len(languages), np.float32)}
+        k = len(languages) + 1
+        self.p = {"out": normal(k, 2 * HIDDEN), "out_b": np.zeros((k, 1), np.float32)}
         for d in "fb":
-            self.p |= {f"w{d}": normal(FRAME * EMBED, 3 * HIDDEN), f"c{d}": np.zeros(3 * HIDDEN, np.float32), f"u{d}": normal(HIDDEN, 3 * HIDDEN)}
-
-    def states(self, x: np.ndarray, d: str, keep: list | None = None) -> np.ndarray:
-        """x: (time, batch, 3 * HIDDEN) from the input. The state after each step, in the order of x."""
-        u = self.p[f"u{d}"]
-        gates, cand = np.ascontiguousarray(u[:, : 2 * HIDDEN]), np.ascontiguousarray(u[:, 2 * HIDDEN :])
-        h = np.zeros((x.shape[1], HIDDEN), np.float32)
-        out = np.empty((*x.shape[:2], HIDDEN), np.float32)
+            self.p |= {f"t{d}": rng.standard_normal((3 * HIDDEN, 256)).astype(np.float32), f"u{d}": normal(3 * HIDDEN, HIDDEN)}
+
+    def states(self, x: np.ndarray, size: np.ndarray, d: str, keep: list | None = None) -> np.ndarray:
+        """(time, HIDDEN, batch): the state after each byte of x (time, batch). Backwards it starts at
+        each text's own end."""
+        table, u = self.p[f"t{d}"], self.p[f"u{d}"]
+        n, shortest = HIDDEN, int(size.min())
+        h = np.zeros((n, x.shape[1]), table.dtype)
+        out = np.empty((len(x), n, x.shape[1]), table.dtype)
         for t in range(len(x)) if d == "f" else range(len(x) - 1, -1, -1):
-            g = _sigmoid(x[t, :, : 2 * HIDDEN] + h @ gates)
-            r, z = g[:, :HIDDEN], g[:, HIDDEN:]
-            rh = r * h
-            c = np.tanh(x[t, :, 2 * HIDDEN :] + rh @ cand)
+            a, m = table.take(x[t], axis=1), u @ h
+            g = a[: 2 * n]
+            g += m[: 2 * n]
+            g = _sigmoid(g)
+            r, z = g[:n], g[n:]
+            if t >= shortest:
+                z *= t < size
+            c = r * m[2 * n :]
+            c += a[2 * n :]
+            c = np.tanh(c)
             if keep is not None:
-                keep.append((t, h, r, z, rh, c))
+                keep.append((t, h, r, z, c, m[2 * n :]))
             h = h + z * (c - h)
             out[t] = h
         return out
 
-    def read(self, x: np.ndarray) -> np.ndarray:
-        """(batch, STRETCH, FRAME) bytes -> (time, batch, FRAME * EMBED)."""
-        return self.p["embed"][x.transpose(1, 0, 2)].reshape(x.shape[1], x.shape[0], FRAME * EMBED)
-
-    def labels(self, x: np.ndarray) -> np.ndarray:
-        """Probabilities of the languages at each frame: (time, batch, languages)."""
-        e = self.read(x)
-        h = np.concatenate([self.states(e @ self.p[f"w{d}"] + self.p[f"c{d}"], d) for d in "fb"], axis=2)
-        s = h @ self.p["out"] + self.p["out_b"]
-        s = np.exp(s - s.max(2, keepdims=True))
-        return s / s.sum(2, keepdims=True)
-
-    def gradients(self, x: np.ndarray, y: np.ndarray, real: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Loss and gradients by backpropagation through time. real: (time, batch), which frames are text."""
-        p, e = self.p, self.read(x)
+    def labels(self, x: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Probabilities of the labels at each byte: (time, labels, batch)."""
+        h = np.concatenate([self.states(x, size, d) for d in "fb"], axis=1)
+        s = np.matmul(self.p["out"], h) + self.p["out_b"]
+        s = np.exp(s - s.max(1, keepdims=True))
+        return s / s.sum(1, keepdims=True)
+
+    def gradients(self, x: np.ndarray, size: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """Loss and gradients by backpropagation through time, over the bytes of the texts."""
+        p, n = self.p, HIDDEN
         kept: dict[str, list] = {"f": [], "b": []}
-        h = np.concatenate([self.states(e @ p[f"w{d}"] + p[f"c{d}"], d, kept[d]) for d in "fb"], axis=2)
-        s = h @ p["out"] + p["out_b"]
-        s = np.exp(s - s.max(2, keepdims=True))
-        s /= s.sum(2, keepdims=True)
-        at = (np.arange(s.shape[0])[:, None], np.arange(s.shape[1])[None, :], y[None, :])
-        n = max(real.sum(), 1)
-        loss = float(-(np.log(s[at] + 1e-9) * real).sum() / n)
-        ds = s.copy()
-        ds[at] -= 1
-        ds *= (real / n)[:, :, None].astype(np.float32)
-        flat = lambda a: a.reshape(-1, a.shape[-1])
-        grad = {"out": flat(h).T @ flat(ds), "out_b": flat(ds).sum(0)}
-        dh_all = ds @ p["out"].T
-        de = np.zeros_like(e)
+        h = np.concatenate([self.states(x, size, d, kept[d]) for d in "fb"], axis=1)
+        s = np.matmul(p["out"], h) + p["out_b"]
+        s = np.exp(s - s.max(1, keepdims=True))
+        s /= s.sum(1, keepdims=True)
+        real = np.arange(len(x))[:, None] < size[None, :]
+        total = max(int(real.sum()), 1)
+        at = (np.arange(len(x))[:, None], y[None, :], np.arange(x.shape[1])[None, :])
+        loss = float(-(np.log(s[at] + 1e-9) * real).sum() / total)
+        s[at] -= 1
+        s *= (real / total)[:, None, :].astype(s.dtype)
+        grad = {"out": np.einsum("tkb,thb->kh", s, h, optimize=True), "out_b": s.sum((0, 2))[:, None]}
+        dh_all = np.matmul(p["out"].T, s)
         for i, d in enumerate("fb"):
             u = p[f"u{d}"]
-            dx = np.empty((*e.shape[:2], 3 * HIDDEN), np.float32)
-            du = np.zeros_like(u)
-            back = np.zeros((e.shape[1], HIDDEN), np.float32)
-            for t, before, r, z, rh, c in reversed(kept[d]):
-                dh = dh_all[t, :, i * HIDDEN : (i + 1) * HIDDEN] + back
+            da, du = np.empty((len(x), 3 * n, x.shape[1]), u.dtype), np.zeros_like(u)
+            back = np.zeros((n, x.shape[1]), u.dtype)
+            for t, before, r, z, c, mc in reversed(kept[d]):
+                dh = dh_all[t, i * n : (i + 1) * n] + back
                 dc = dh * z * (1 - c * c)
-                dz = dh * (c - before) * z * (1 - z)
-                drh = dc @ u[:, 2 * HIDDEN :].T
-                dr = drh * before * r * (1 - r)
-                drz = np.concatenate([dr, dz], axis=1)
-                du[:, : 2 * HIDDEN] += before.T @ drz
-                du[:, 2 * HIDDEN :] += rh.T @ dc
-                back = dh * (1 - z) + drh * r + drz @ u[:, : 2 * HIDDEN].T
-                dx[t, :, : 2 * HIDDEN], dx[t, :, 2 * HIDDEN :] = drz, dc
-            grad |= {f"u{d}": du, f"w{d}": flat(e).T @ flat(dx), f"c{d}": flat(dx).sum(0)}
-            de += dx @ p[f"w{d}"].T
-        index, de = x.transpose(1, 0, 2).ravel(), de.reshape(-1, EMBED)
-        grad["embed"] = np.stack([np.bincount(index, de[:, j], 256) for j in range(EMBED)], axis=1).astype(np.float32)
+                own = da[t]
+                own[:n] = dc * mc * r * (1 - r)
+                own[n : 2 * n] = dh * (c - before) * z * (1 - z)
+                own[2 * n :] = dc
+                dm = np.concatenate([own[: 2 * n], dc * r])
+                du += dm @ before.T
+                back = dh * (1 - z) + u.T @ dm
+            index = x.reshape(-1)
+            flat = da.transpose(1, 0, 2).reshape(3 * n, -1)
+            grad |= {f"u{d}": du, f"t{d}": np.stack([np.bincount(index, row, 256) for row in flat]).astype(u.dtype)}
         return loss, grad
 
-    def train(self, x: np.ndarray, y: np.ndarray, size: np.ndarray, epochs: int = EPOCHS, seed: int = 4) -> list[float]:
-        """Adam over shuffled batches. size: bytes of text in each stretch. The loss of each epoch."""
+    def train(self, texts: list[bytes], y: np.ndarray, epochs: int = EPOCHS, seed: int = 4) -> list[float]:
+        """Adam over shuffled batches. The loss of each epoch."""
         rng = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(w) for k, w in self.p.items()}
         losses, step = [], 0
         # a small sample gets as many steps as a large one
-        epochs = max(epochs, min(60, -(-120 * BATCH // max(len(x), 1))))
+        epochs = max(epochs, min(60, -(-120 * BATCH // max(len(texts), 1))))
         for epoch in range(epochs):
-            total, order = [], rng.permutation(len(x))
-            for lo in range(0, len(x), BATCH):
+            total, order = [], rng.permutation(len(texts))
+            for lo in range(0, len(texts), BATCH):
                 i = order[lo : lo + BATCH]
-                # every other stretch is cut short, as short texts are, and not always at a frame
-                length = np.where(rng.random(len(i)) < 0.5, np.minimum(size[i], rng.integers(8, FRAME * STRETCH, len(i))), size[i])
-                text = x[i].reshape(len(i), -1) * (np.arange(FRAME * STRETCH) < length[:, None])
-                real = (np.arange(STRETCH)[:, None] * FRAME < length[None, :]).astype(np.float32)
-                loss, grad = self.gradients(text.reshape(x[i].shape).astype(np.uint8), y[i], real)
+                # every other stretch is cut short, as short texts are
+                own = [texts[j][: rng.integers(8, LEARNT) if rng.random() < 0.5 else None] for j in i]
+                none = [bytes(rng.permutation(np.frombuffer(t, np.uint8))) for t in own[::SHUFFLED] if len(t) >= 16]
+                x, size = _side_by_side([*own, *none])
+                loss, grad = self.gradients(x, size, np.concatenate([y[i], np.full(len(none), len(self.languages))]))
                 total.append(loss)
                 step += 1
                 rate = RATE * (0.2 if epoch * 4 >= epochs * 3 else 1)
@@ -153,19 +157,21 @@ class Network:
         return losses
 
     def documents(self, texts: list[bytes]) -> np.ndarray:
-        """Mean probabilities of each text; texts are not empty."""
-        cut = [frames(t) for t in texts]
-        x = np.concatenate(cut)
-        own = np.repeat(np.arange(len(texts)), [len(c) for c in cut])
-        start = np.concatenate([np.arange(len(c)) for c in cut]) * FRAME * STRETCH
-        left = np.array([len(t) for t in texts])[own] - start
-        out = np.zeros((len(texts), len(self.languages)))
-        for lo in range(0, len(x), AT_ONCE):
-            part = slice(lo, lo + AT_ONCE)
-            real = (np.arange(STRETCH)[:, None] * FRAME < left[part][None, :]).astype(np.float32)
-            p = (self.labels(x[part]) * real[:, :, None]).sum(0)
-            np.add.at(out, own[part], p)
-        return out / out.sum(1, keepdims=True)
+        """(texts, labels): the mean of the probabilities at all bytes of each text; none is empty."""
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        owner = np.repeat(np.arange(len(texts)), -(-size // STRETCH))
+        start = np.concatenate([np.arange(0, n, STRETCH) for n in size.tolist()])
+        end = np.minimum(start + STRETCH, size[owner])
+        lo, hi = np.maximum(start - CONTEXT, 0), np.minimum(end + CONTEXT, size[owner])
+        out = np.zeros((len(texts), len(self.languages) + 1))
+        order = np.argsort(hi - lo, kind="stable")
+        for at in range(0, len(order), AT_ONCE):
+            i = order[at : at + AT_ONCE]
+            x, n = _side_by_side([texts[o][a:b] for o, a, b in zip(owner[i], lo[i], hi[i], strict=True)])
+            t = np.arange(len(x))[:, None]
+            own = (t >= (start - lo)[i]) & (t < (end - lo)[i])
+            np.add.at(out, owner[i], np.einsum("tkb,tb->bk", self.labels(x, n), own.astype(np.float32), optimize=True))
+        return out / size[:, None]
 
 
 def held_out() -> Column:
@@ -173,83 +179,101 @@ def held_out() -> Column:
 
 
 def sample(docs: DataFrame) -> DataFrame:
-    """(lang, doc_id, nth, stretch): what the network learns from. Documents are taken by a hash of
-    their id, about PER_LANGUAGE of each language, fewer if that makes more than IN_ALL; of each one
-    stretches at even distances over the whole text. Only lang and text of documents that are not held
-    out are looked at."""
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"), "lang").filter(F.col("lang").isNotNull() & (F.col("lang") != "und") & (F.octet_length("text") > 0) & ~held_out())
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    quota = min(PER_LANGUAGE, IN_ALL // max(len(counts), 1))
-    draw = F.pmod(F.xxhash64(F.lit("lid"), F.col("doc_id")), F.lit(1 << 30))
-    # documents without an id have one draw for all and would come or stay together
-    pick = F.lit(False)
-    for r in counts:
-        pick = pick | ((F.col("lang") == r["lang"]) & (draw < int((1 << 30) * min(1.0, quota / r["count"]))))
+    """(lang, draw, doc_id, nth, stretch): what the network learns from. Documents are taken by a hash of
+    their id and text, about PER_LANGUAGE of each language, fewer if that makes more than IN_ALL, but
+    one of each; of each one stretches at even distances over the whole text. Only lang and text of
+    documents that are not held out are looked at."""
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
+    known = known.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.octet_length("text") > 0) & ~held_out())
+    counts = known.groupBy("lang").count()
+    quota = max(1, min(PER_LANGUAGE, IN_ALL // max(counts.count(), 1)))
+    draw = F.pmod(F.xxhash64(F.lit("lid"), F.col("doc_id"), F.col("text")), F.lit(1 << 30)) / (1 << 30)
+    first = known.select("lang", draw.alias("draw")).groupBy("lang").agg(F.min("draw").alias("least"), F.count("*").alias("n"))
+    upto = first.select("lang", F.greatest(F.col("least"), F.lit(float(quota)) / F.col("n")).alias("upto"))
+    taken = known.withColumn("draw", draw).join(upto, "lang").filter("draw <= upto").select("lang", "draw", "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = FRAME * STRETCH
         for b in batches:
             out = []
-            for lang, doc, text in zip(b["lang"].to_pylist(), b["doc_id"].to_pylist(), b["text"].cast(pa.binary()).to_pylist(), strict=True):
-                n = -(-len(text) // size)
+            for lang, own, doc, text in zip(*(b[c].to_pylist() for c in ("lang", "draw", "doc_id", "text")), strict=True):
+                text = text.lower().encode()
+                n = -(-len(text) // LEARNT)
                 for k in sorted({n * j // PER_DOCUMENT for j in range(PER_DOCUMENT)}):
-                    out.append((lang, doc, k, text[k * size : (k + 1) * size]))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.binary()))], names=["lang", "doc_id", "nth", "stretch"])
+                    out.append((lang, own, doc, k, text[k * LEARNT : (k + 1) * LEARNT]))
+            kinds = (pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=["lang", "draw", "doc_id", "nth", "stretch"])
 
-    return known.filter(pick & F.col("doc_id").isNotNull()).mapInArrow(run, "lang string, doc_id long, nth long, stretch binary")
+    return taken.mapInArrow(run, "lang string, draw double, doc_id long, nth long, stretch binary")
 
 
 def learn(docs: DataFrame) -> Network | None:
-    """The network for the languages of docs; None if no document has a language."""
-    got = sample(docs).limit(2 * IN_ALL * PER_DOCUMENT).toPandas().sort_values(["lang", "doc_id", "nth", "stretch"])
+    """The network for the languages of docs; None if no document has a language. What the driver gets
+    is bounded: IN_ALL documents and one of each language, about, and of rows with one draw the first."""
+    drawn = sample(docs)
+    most = 2 * PER_DOCUMENT * (IN_ALL + drawn.select("lang").distinct().count())
+    order = ["draw", "lang", "doc_id", "nth", "stretch"]
+    got = drawn.orderBy(*order).limit(most).toPandas().sort_values(["lang", *order])
     if not len(got):
         return None
     languages = sorted(got["lang"].unique())
     net = Network(languages)
-    x = np.concatenate([frames(bytes(s)) for s in got["stretch"]])
-    net.train(x, np.searchsorted(languages, got["lang"]), got["stretch"].map(len).to_numpy())
+    net.train([bytes(s) for s in got["stretch"]], np.searchsorted(languages, got["lang"]))
     return net
 
 
-def label_languages(docs: DataFrame) -> DataFrame:
-    """docs with two more columns, lang_pred_ and lang_score_; no row is moved. lang_pred_ is `und`, with
-    score 0, where the text is null or has no letter, and for all if there is nothing to learn from."""
+#: The columns that label_languages() adds.
+LABELS = ("lang_pred", "lang_score", "no_language")
+
+
+def label_languages(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """docs with three more columns, and their names (LABELS, with as many _ as make them new): the
+    language, its probability among the languages, and the probability of no language. No row is moved.
+    The language is `und`, with 0 and 1, where the text is null or has no letter, and for all if there
+    is nothing to learn from."""
     net = learn(docs)
     names = [f.name for f in docs.schema.fields]
     at = next(i for i, n in enumerate(names) if n == "text")
+    more = list(LABELS)
+    while {n.lower() for n in names} & set(more):
+        more = [f"{n}_" for n in more]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letter = _letter()
         for whole in batches:
-            for lo in range(0, whole.num_rows, 256):
-                b = whole.slice(lo, 256)
+            for lo in range(0, whole.num_rows, 512):
+                b = whole.slice(lo, 512)
                 texts = b.column(at).to_pylist()
                 full = [i for i, t in enumerate(texts) if net and t and letter(t)]
-                lang, score = ["und"] * len(texts), [0.0] * len(texts)
+                lang, score, none = ["und"] * len(texts), [0.0] * len(texts), [1.0] * len(texts)
                 if full:
                     p = net.documents([texts[i].lower().encode() for i in full])
-                    for i, best, s in zip(full, p.argmax(1), p.max(1), strict=True):
-                        lang[i], score[i] = net.languages[best], float(min(s, 1.0))
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*b.schema.names, "lang_pred_", "lang_score_"])
+                    known = p[:, :-1] / np.maximum(p[:, :-1].sum(1, keepdims=True), 1e-30)
+                    for i, best, s, no in zip(full, known.argmax(1), known.max(1), p[:, -1], strict=True):
+                        lang[i], score[i], none[i] = net.languages[best], float(min(s, 1.0)), float(no)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(none, pa.float64())], names=[*b.schema.names, *more])
 
-    wide = StructType([*docs.schema.fields]).add("lang_pred_", StringType()).add("lang_score_", DoubleType())
-    return docs.mapInArrow(run, wide)
+    wide = StructType([*docs.schema.fields]).add(more[0], StringType()).add(more[1], DoubleType()).add(more[2], DoubleType())
+    return docs.mapInArrow(run, wide), more
 
 
 def identify(docs: DataFrame) -> DataFrame:
     """The language of every document of docs (doc_id, text, lang).
 
     One row per document: doc_id, held_out (crc32(doc_id as text) mod 5 is 0; such documents are never
-    learnt from), lang_pred, score (the mean probability of lang_pred over the text's frames). A null
-    doc_id is not held out and not learnt from; rows that repeat a doc_id are labelled one by one. Null
-    text and text without a letter are `und` with score 0. Other columns are ignored.
+    learnt from), lang_pred, score (the mean probability of lang_pred over the text's bytes, among the
+    languages). Every lang value that a document outside the held-out ones has is learnt. A null doc_id
+    is not held out and not learnt from; rows that repeat a doc_id are labelled one by one. Null text and
+    text without a letter are `und` with score 0, as are all if nothing can be learnt. Other columns are
+    ignored.
     """
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
-    learnt = label_languages(narrow)
-    return learnt.select("doc_id", held_out().alias("held_out"), F.col("lang_pred_").alias("lang_pred"), F.col("lang_score_").alias("score"))
+    learnt, (lang, score, _) = label_languages(narrow)
+    return learnt.select("doc_id", held_out().alias("held_out"), F.col(lang).alias("lang_pred"), F.col(score).alias("score"))
 
 
-def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
-    """The documents with a language and a score of `least` or more, with all their columns. Short
-    texts and texts in two languages score low and are none the worse for it, so little is asked."""
-    return label_languages(docs).filter((F.col("lang_pred_") != "und") & (F.col("lang_score_") >= least)).select(*docs.columns)
+def keep_identified(docs: DataFrame, most: float = 0.97) -> DataFrame:
+    """The documents in a language, with all their columns: those go that have no letter, and those whose
+    probability of no language is above `most` in the mean over their bytes. If nothing can be learnt,
+    all documents with a letter would be `und` too, and all go."""
+    learnt, (_, score, none) = label_languages(docs)
+    return learnt.filter((F.col(score) > 0) & (F.col(none) <= most)).select(*docs.columns)

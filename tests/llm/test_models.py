@@ -33,30 +33,74 @@ def test_ann_recall_and_blocks(spark):
     assert hits / 1000 > 0.99
 
 
-def test_backpropagation_agrees_with_differences():
-    rng = np.random.default_rng(0)
-    net = language.Network(["a", "b", "c"])
+def _small_network(seed=0):
+    net = language.Network(["a", "b", "c"], seed)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
-    x = rng.integers(0, 256, (3, language.STRETCH, language.FRAME)).astype(np.uint8)
-    y, real = np.array([0, 2, 1]), (rng.random((language.STRETCH, 3)) < 0.8).astype(np.float64)
-    states = net.states
+    return net
 
-    def exact(x, d, keep=None):  # the same in double precision
-        out = states(x.astype(np.float64), d, keep)
-        return out
 
-    net.states = exact
-    _, grad = net.gradients(x, y, real)
-    for name in ("out", "wf", "ub", "uf", "cb", "out_b"):
+def test_backpropagation_agrees_with_differences():
+    rng = np.random.default_rng(0)
+    net = _small_network()
+    x, size = language._side_by_side([bytes(rng.integers(0, 256, n).astype(np.uint8)) for n in (30, 9, 24)])
+    y = np.array([0, 3, 1])
+    _, grad = net.gradients(x, size, y)
+    seen = np.unique(x[:9])
+    for name in ("out", "tf", "ub", "uf", "tb", "out_b"):
         w = net.p[name]
-        at = tuple(rng.integers(0, s) for s in w.shape)
-        old, eps = w[at], 1e-2
-        w[at] = old + eps
-        up = net.gradients(x, y, real)[0]
-        w[at] = old - eps
-        down = net.gradients(x, y, real)[0]
-        w[at] = old
-        assert abs((up - down) / (2 * eps) - grad[name][at]) < 2e-4 + 0.03 * abs(grad[name][at]), name
+        for _ in range(4):
+            at = tuple(rng.choice(seen) if n == 256 else rng.integers(0, n) for n in w.shape)
+            old, eps = w[at], 1e-5
+            w[at] = old + eps
+            up = net.gradients(x, size, y)[0]
+            w[at] = old - eps
+            down = net.gradients(x, size, y)[0]
+            w[at] = old
+            assert abs((up - down) / (2 * eps) - grad[name][at]) < 1e-6 + 1e-4 * abs(grad[name][at]), name
+
+
+def _plain_labels(net, text):
+    """The network in plain loops, one byte and one unit after the other; a label for every byte."""
+    from math import exp, tanh
+
+    n, both = language.HIDDEN, []
+    for d in "fb":
+        table, u = net.p[f"t{d}"], net.p[f"u{d}"]
+        h, out = [0.0] * n, [None] * len(text)
+        for t in range(len(text)) if d == "f" else reversed(range(len(text))):
+            m = [sum(u[g][j] * h[j] for j in range(n)) for g in range(3 * n)]
+            a = [table[g][text[t]] for g in range(3 * n)]
+            sig = lambda v: 1 / (1 + exp(-v))
+            r, z = [sig(a[g] + m[g]) for g in range(n)], [sig(a[n + g] + m[n + g]) for g in range(n)]
+            c = [tanh(a[2 * n + g] + r[g] * m[2 * n + g]) for g in range(n)]
+            h = [h[g] + z[g] * (c[g] - h[g]) for g in range(n)]
+            out[t] = h
+        both.append(out)
+    labels = []
+    for f, b in zip(*both, strict=True):
+        s = [exp(sum(w * v for w, v in zip(row, f + b, strict=True)) + bias[0]) for row, bias in zip(net.p["out"], net.p["out_b"], strict=True)]
+        labels.append([v / sum(s) for v in s])
+    return labels
+
+
+def test_every_byte_is_labelled_as_by_plain_loops():
+    rng = np.random.default_rng(1)
+    net = _small_network(2)
+    texts = [bytes(rng.integers(0, 256, n).astype(np.uint8)) for n in (1, 7, 40, 130)]
+    x, size = language._side_by_side(texts)
+    got = net.labels(x, size)
+    for i, text in enumerate(texts):
+        assert np.abs(got[: len(text), :, i] - np.array(_plain_labels(net, text))).max() < 1e-9
+    assert np.abs(net.documents(texts) - [np.mean(_plain_labels(net, t), axis=0) for t in texts]).max() < 1e-6
+
+
+def test_stretches_agree_with_the_whole_text(spark):
+    """A trained network labels a long text in stretches as it does in one piece."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    net = language.learn(docs)
+    text = max((r.text for r in docs.collect() if r.text), key=len)[:6000].lower().encode()
+    x, size = language._side_by_side([text])
+    assert np.abs(net.labels(x, size)[:, :, 0].mean(0) - net.documents([text])[0]).max() < 5e-3
 
 
 def test_language(spark):
@@ -69,7 +113,7 @@ def test_language(spark):
 def test_language_cases(spark):
     rows = [(i, "the cat and the dog " * 3, "en") for i in range(60)] + [(100 + i, "der hund und die katze " * 3, "de") for i in range(60)]
     rows += [(300, None, "en"), (301, "12 !?", None), (302, "", "de"), (None, "the dog", "en"), (303, "der hund " * 30_000, None), (304, "und", "und"), (300, "the cat", None)]
-    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, lang string, stretch string")
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, lang string, stretch string, lang_pred int")
     got = {(r.doc_id, r.lang_pred): r for r in language.identify(df).collect()}
     assert all((k, "und") in got and got[k, "und"].score == 0 for k in (300, 301, 302))
     assert (None, "en") in got and (303, "de") in got and not got[None, "en"].held_out
@@ -78,6 +122,22 @@ def test_language_cases(spark):
     assert {r.lang_pred for r in language.identify(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_many_languages_and_junk(spark):
+    """No language is left out, however many there are, and letters in no language's order go."""
+    import random
+
+    rng = random.Random(5)
+    words = {f"l{k}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(5)] for k in range(300)}
+    many = spark.createDataFrame([(i, " ".join(rng.choices(words[f"l{i % 300}"], k=8)), f"l{i % 300}") for i in range(900)], "doc_id long, text string, lang string")
+    drawn = {r.lang for r in language.sample(many).collect()}
+    assert drawn == {r.lang for r in many.filter(~language.held_out()).collect()} and len(drawn) > 256
+    two = [(i, " ".join(rng.choices(words[f"l{i % 2}"], k=rng.randint(2, 40))), f"l{i % 2}") for i in range(300)]
+    junk = [(1000 + i, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=300)), None) for i in range(10)]
+    df = spark.createDataFrame(two + junk, "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in language.keep_identified(df).collect()}
+    assert kept >= set(range(300)) and len(kept) <= 302
+
+
 def test_isotonic_is_rising_and_pools():
     x, y = quality.isotonic(np.arange(5.0), np.array([0, 1, 0, 1, 1.0]), np.ones(5))
     assert y.tolist() == [0, 0.5, 1, 1] or y.tolist() == [0, 0.5, 1] and x[1] == 1.5
