@@ -1,9 +1,10 @@
 """Byte-level BPE by overlapping chunks.
 
 A long text is cut into chunks that overlap. All chunks are pre-tokenised in parallel. Where two
-neighbours have a pre-token boundary in common inside their overlap, they agree from there on, so the
-left one's pre-tokens are used up to it and the right one's after it. Each pre-token is then merged on
-its own by the ranks of the vocabulary. Decoding concatenates the bytes of the ids.
+neighbours have a pre-token boundary in common inside their overlap, they agree from there on, and the
+text is stitched there: it falls into pieces that begin and end at such boundaries. Then all pieces are
+encoded in parallel, each pre-token on its own by the ranks of the vocabulary, and the ids of a document
+are put together in order. Decoding concatenates the bytes of the ids.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: The code points with the Unicode property White_Space, which is what \s means in the pattern.
 WHITE_SPACE = r"\x09-\x0d\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -66,13 +69,6 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-def agree(left: list[int], right: list[int], upto: int) -> int:
-    """The first boundary that both lists have and that no cut end can have moved, or -1.
-    left's last boundary before the end of its text may be due to that end, so the last two don't count."""
-    sure = set(right)
-    return next((x for x in left[:-2] if 0 < x <= upto and x in sure), -1)
-
-
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Encode every text of docs (doc_id, text) and decode the ids again.
 
@@ -84,20 +80,39 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
 
-    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    is_long = F.length("text") > CHUNK
+    return rows.filter(~is_long).mapInArrow(_at_once(path, pattern), digests).unionByName(_encode_long(rows.filter(is_long), path, pattern, digests))
+
+
+def _at_once(path: str, pattern: str):
+    """Each text of a batch encoded as a whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
-        for b in batches:
-            n, ids_sha, out_sha = [], [], []
-            for t in b["text"].to_pylist():
-                got = c.ids(c.all(t))
-                ids = " ".join([x[0] for x in got])
-                n.append(sum([x[1] for x in got]))
-                ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
-                out_sha.append(hashlib.sha256(c.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(out_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                b, out = whole.slice(at, 512), []
+                for doc, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
+                    got = c.ids(c.all(text))
+                    ids = " ".join([x[0] for x in got])
+                    out.append((doc, sum([x[1] for x in got]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(c.decode(ids)).hexdigest()))
+                yield _digest_rows(out)
+
+    return run
 
-    is_long = F.length("text") > CHUNK
-    return rows.filter(~is_long).mapInArrow(short, digests).unionByName(_encode_long(rows.filter(is_long), path, pattern, digests))
+
+def stitched(marks: DataFrame) -> DataFrame:
+    """marks (doc_id, hash, chunk, heads, tails) with piece, a number that rises along the document, start,
+    where the piece begins in its first chunk, and stop, where the next one does in the next chunk.
+
+    heads: boundaries in the head of the chunk, tails: those from the next chunk's start on, both counted
+    from there. The end of a chunk may have moved the last two of its boundaries, so these don't count."""
+    order = Window.partitionBy("doc_id", "hash").orderBy("chunk")
+    before = F.lag("tails").over(order)
+    sure = F.filter(F.slice(before, 1, F.greatest(F.size(before) - 2, F.lit(0))), lambda x: x > 0)
+    found = marks.withColumn("start", F.when(F.col("chunk") == 0, 0).otherwise(F.array_min(F.array_intersect(sure, F.col("heads")))))
+    piece = F.sum(F.col("start").isNotNull().cast("int")).over(order)
+    return found.select("doc_id", "hash", "chunk", piece.cast("long").alias("piece"), "start", F.lead("start").over(order).alias("stop"))
 
 
 def _encode_long(rows: DataFrame, path: str, pattern: str, digests: str) -> DataFrame:
@@ -106,54 +121,99 @@ def _encode_long(rows: DataFrame, path: str, pattern: str, digests: str) -> Data
     # doc_id are one document with a number of copies.
     keyed = rows.groupBy("doc_id", F.sha2("text", 256).alias("hash")).agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     n = F.ceil(F.length("text") / CHUNK).cast("int")
-    cut = keyed.select("doc_id", "hash", "copies", "text", F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk"))
-    cut = cut.select("doc_id", "hash", "copies", "chunk", F.col("text").substr(F.col("chunk") * CHUNK + 1, F.lit(CHUNK + OVERLAP)).alias("part")).repartition("doc_id", "hash", "chunk")
+    cut = keyed.select("doc_id", "hash", "text", F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk"))
+    cut = cut.select("doc_id", "hash", "chunk", F.col("text").substr(F.col("chunk") * CHUNK + 1, F.lit(CHUNK + OVERLAP)).alias("part")).repartition("doc_id", "hash", "chunk")
 
     def pretokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
+        names = ["doc_id", "hash", "chunk", "part", "heads", "tails"]
         for b in batches:
             ends = [c.ends(t) for t in b["part"].to_pylist()]
-            # the boundaries inside the overlap with the next chunk, counted from that chunk's start, and those at this chunk's head
             tails = [[x - CHUNK for x in e if x >= CHUNK] for e in ends]
             heads = [[x for x in e if x <= OVERLAP] for e in ends]
-            yield pa.RecordBatch.from_arrays([*(b[k] for k in ("doc_id", "hash", "copies", "chunk", "part")), pa.array(heads, pa.list_(pa.int32())), pa.array(tails, pa.list_(pa.int32()))], names=["doc_id", "hash", "copies", "chunk", "part", "heads", "tails"])
+            marks = [pa.array(x, pa.list_(pa.int32())) for x in (heads, tails)]
+            yield pa.RecordBatch.from_arrays([*(b[k] for k in names[:4]), *marks], names=names)
 
-    marked = cut.mapInArrow(pretokenise, "doc_id long, hash string, copies long, chunk int, part string, heads array<int>, tails array<int>")
-    order = Window.partitionBy("doc_id", "hash").orderBy("chunk")
-    stitched = marked.withColumn("before", F.lag("tails").over(order)).withColumn("after", F.lead("heads").over(order))
+    marked = materialize(cut.mapInArrow(pretokenise, "doc_id long, hash string, chunk int, part string, heads array<int>, tails array<int>"), "bpe-chunks")
+    # only the boundaries of a document meet in one task, not its text
+    places = stitched(marked.drop("part")).select(F.col("doc_id").alias("doc_"), F.col("hash").alias("hash_"), F.col("chunk").alias("chunk_"), "piece", "start", "stop")
+    same = F.col("doc_id").eqNullSafe(F.col("doc_")) & (F.col("hash") == F.col("hash_")) & (F.col("chunk") == F.col("chunk_"))
+    pieces = marked.drop("heads", "tails").join(places, same).select("doc_id", "hash", "piece", "chunk", "part", "start", "stop")
+    pieces = pieces.repartition("doc_id", "hash", "piece").sortWithinPartitions("doc_id", "hash", "piece", "chunk")
 
     def encode_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Streams the chunks of a document in order; holds one chunk and an unsettled rest."""
+        """One row a piece: its ids as decimals, and whether a pre-token ends where the piece does. The
+        chunks of a piece come one after the other; most pieces lie in one chunk."""
+        c = codec(path, pattern)
+        names = ["doc_id", "hash", "piece", "chunk", "part", "start", "stop"]
+        rows = ([x for x in zip(*(b[k].to_pylist() for k in names), strict=True)] for b in batches)
+        at, held, out = None, [], []
+        for doc, h, piece, _, part, start, stop in (r for b in rows for r in b):
+            if at != (doc, h, piece):
+                if held:
+                    out.append((*at, *_piece_ids(c, held)))
+                at, held = (doc, h, piece), []
+                if len(out) >= 64:
+                    yield _piece_rows(out)
+                    out = []
+            held.append((part, start, stop))
+        if held:
+            out.append((*at, *_piece_ids(c, held)))
+        yield _piece_rows(out)
+
+    done = materialize(pieces.mapInArrow(encode_pieces, "doc_id long, hash string, piece long, ids string, whole boolean"), "bpe-pieces")
+    own = keyed.select(F.col("doc_id").alias("doc_"), F.col("hash").alias("hash_"), "copies")
+    same = F.col("doc_id").eqNullSafe(F.col("doc_")) & (F.col("hash") == F.col("hash_"))
+    # pieces that begin at a true boundary and end at one prove the next one's beginning; where one does
+    # not, scans that were both out of step have met, and the document is encoded in one go
+    broken = done.filter("not whole").select(F.col("doc_id").alias("doc_"), F.col("hash").alias("hash_")).distinct()
+    order = ["doc_id", "hash", "piece"]
+    ids = done.join(broken, same, "left_anti").join(own, same).select(*order, "copies", "ids").repartition("doc_id", "hash").sortWithinPartitions(*order)
+
+    def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
-        at, rest = None, ""
+        at = None
         for b in batches:
             out: list[tuple] = []
-            for doc, h, copies, part, heads, tails, before, after in zip(*(b[k].to_pylist() for k in ("doc_id", "hash", "copies", "part", "heads", "tails", "before", "after")), strict=True):
-                if (doc, h) != at:
-                    at, rest, n, ids_sha, out_sha = (doc, h), "", 0, hashlib.sha256(), hashlib.sha256()
-                start = 0 if before is None or rest else agree(before, heads, OVERLAP)
-                stop = agree(tails, after, OVERLAP) if after is not None else -1
-                if after is not None and stop < 0:
-                    # the scans don't meet in the overlap: keep the text and scan on from the last sure boundary
-                    rest += part[start:CHUNK]
-                    continue
-                text = rest + part[start : len(part) if after is None else CHUNK + stop]
-                pieces, at_end = (c.all(text), True) if after is None else _as_in_context(c, text, part[CHUNK + stop :])
-                if not at_end:  # two scans that were both out of step met; the sure one has no boundary there
-                    rest = text[: len(text) - stop]
-                    continue
-                rest = ""
-                got = c.ids(pieces)
-                ids = " ".join([x[0] for x in got])
-                if ids:
-                    ids_sha.update((" " * (n > 0) + ids).encode())
-                    out_sha.update(c.decode(ids))
-                n += sum([x[1] for x in got])
-                if after is None:
-                    out += [(doc, n, ids_sha.hexdigest(), out_sha.hexdigest())] * copies
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string()))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return stitched.mapInArrow(encode_pieces, digests)
+            for doc, h, copies, own in zip(*(b[k].to_pylist() for k in ("doc_id", "hash", "copies", "ids")), strict=True):
+                if at != (doc, h):
+                    if at is not None:
+                        out += [(at[0], n, ids_sha.hexdigest(), out_sha.hexdigest())] * times
+                    at, n, times, ids_sha, out_sha = (doc, h), 0, copies, hashlib.sha256(), hashlib.sha256()
+                if own:
+                    ids_sha.update((" " * (n > 0) + own).encode())
+                    out_sha.update(c.decode(own))
+                    n += own.count(" ") + 1
+            if out:
+                yield _digest_rows(out)
+        if at is not None:
+            yield _digest_rows([(at[0], n, ids_sha.hexdigest(), out_sha.hexdigest())] * times)
+
+    whole = keyed.join(broken, same, "left_semi").select("doc_id", F.explode(F.array_repeat("text", F.col("copies").cast("int"))).alias("text"))
+    return ids.mapInArrow(put_together, digests).unionByName(whole.mapInArrow(_at_once(path, pattern), digests))
+
+
+def _piece_rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.bool_())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["doc_id", "hash", "piece", "ids", "whole"])
+
+
+def _digest_rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+
+def _piece_ids(c: Codec, chunks: list[tuple]) -> tuple[str, bool]:
+    """The ids of a piece by its chunks (part, start, stop): it begins at start in the first one and ends
+    at stop in the one after the last, or with the text."""
+    start = chunks[0][1]
+    last, _, stop = chunks[-1]
+    body = [p[:CHUNK] for p, _, _ in chunks[:-1]]
+    if stop is None:
+        return " ".join(x[0] for x in c.ids(c.all("".join([*body, last])[start:]))), True
+    text = "".join([*body, last[: CHUNK + stop]])[start:]
+    pieces, at_end = _as_in_context(c, text, last[CHUNK + stop :])
+    return " ".join(x[0] for x in c.ids(pieces)), at_end
 
 
 def _as_in_context(c: Codec, text: str, following: str) -> tuple[list[str], bool]:

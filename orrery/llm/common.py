@@ -55,6 +55,16 @@ def release(spark: SparkSession) -> None:
         time.sleep(wait)
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many _ as make it none of the columns, whose letters' case does not count."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
+
+
 def text_key(text: Column) -> Column:
     """What tells texts apart under one doc_id: SHA-256 of the whole text; null text is empty."""
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
@@ -64,10 +74,11 @@ def only_kept(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, whose doc_id and text are in kept (doc_id, text_key);
     rows that repeat both stay once. The text is part of the key, so rows with a null or hot doc_id are
     judged one by one and are spread over the tasks."""
-    kept = kept.select(F.col("doc_id").alias("kept_id_"), F.col("text_key").alias("kept_key_"))
-    keyed = docs.withColumn("text_key_", text_key(F.col("text")))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id_")) & (F.col("text_key_") == F.col("kept_key_"))
-    return keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text_key_"]).select(*docs.columns)
+    own, id_, key = unused(docs.columns, "text_key", "kept_id", "kept_key")
+    kept = kept.select(F.col("doc_id").alias(id_), F.col("text_key").alias(key))
+    keyed = docs.withColumn(own, text_key(F.col("text")))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(key))
+    return keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", own]).select(*docs.columns)
 
 
 #: Bits of the filters of only_present(): 512 KB, whatever the number of keys.

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, materialize
+from .common import WORD_PATTERN, materialize, text_key, unused
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -42,19 +42,23 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int
     return open_.withColumn("final", final).select("source", "source_size", F.when(F.col("final").isNull() | (F.col("ratio") <= F.col("final")), F.col("full")).otherwise(F.col("final") * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: str = "mix") -> DataFrame:
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: str = "mix", keys: bool = False) -> DataFrame:
     """Which part of each document the mix takes.
 
     docs has doc_id, text, source. One row per document: doc_id, size (words; null text has none),
     source, source_size, target, taken (words, repeats counted). A source's taken words add up to its
     target's whole part; no document is taken more than epochs times its size. The order in which
-    documents are taken is by md5 of seed and doc_id, so reruns agree; rows that repeat a doc_id are
-    taken one after the other by size. Null sources are one source, the last. Sources of empty texts
-    and an empty table take nothing. Other columns are ignored.
+    documents are taken is by md5 of seed, doc_id and text, so reruns agree and rows without an id or with
+    a hot one are spread over all ranges; rows that repeat both are taken one after the other. Null
+    sources are one source, the last. Sources of empty texts and an empty table take nothing. Other
+    columns are ignored. With keys there is one more column, text_key.
     """
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD_PATTERN)).cast("long")
-    key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    rows = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), F.col("source").cast("string").alias("source"), key.alias("key")), "mix-sizes")
+    text = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), text).cast("binary"))
+    more = [text_key(F.col("text")).alias("text_key")] if keys else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), F.col("source").cast("string").alias("source"), key.alias("key"), *more)
+    rows = materialize(rows, "mix-sizes")
     n = rows.count()
     digits = max(1, math.ceil(math.log(max(n, 1) / RANGE_ROWS, 16)) + 1) if n > RANGE_ROWS else 1
     rows = rows.withColumn("range", F.substring("key", 1, digits)).withColumn("name", F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), F.col("source"))))
@@ -71,23 +75,30 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EP
     whole = F.when(F.col("source_size") > 0, F.floor(F.floor("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     placed = placed.withColumn("epochs", whole).withColumn("rest", F.floor("target").cast("long") - F.col("epochs") * F.col("source_size") - F.col("before_range") - F.col("inside"))
     taken = F.col("epochs") * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least(F.col("rest"), F.col("size")))
-    return placed.select("doc_id", "size", "source", "source_size", "target", taken.alias("taken"))
+    return placed.select("doc_id", "size", "source", "source_size", "target", taken.alias("taken"), *(["text_key"] if keys else []))
 
 
 def repeat_by_mix(docs: DataFrame) -> DataFrame:
-    """The mixed corpus: each document as many times as the mix takes part in it, whole each time,
-    with all its columns. Rows that repeat a doc_id repeat as the most taken of them."""
-    times = mix(docs).filter("taken > 0").select("doc_id", F.ceil(F.col("taken") / F.col("size")).cast("int").alias("times")).groupBy("doc_id").agg(F.max("times").alias("_times"))
-    times = times.withColumnRenamed("doc_id", "_mixed_id")
-    joined = docs.join(times, docs["doc_id"].eqNullSafe(times["_mixed_id"]))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    """The mixed corpus: each document as many times as the mix takes part in it, whole each time, with
+    all its columns. Rows that repeat doc_id, text and source share what the mix takes of them evenly, and
+    one of them has what is left over."""
+    times = F.ceil(F.col("taken") / F.col("size")).cast("int")
+    id_, key, source, total, rows, own, n = unused(docs.columns, "mixed_id", "mixed_key", "mixed_source", "mixed_times", "mixed_rows", "text_key", "copies")
+    taken = mix(docs, keys=True).select(F.col("doc_id").alias(id_), F.col("text_key").alias(key), F.col("source").alias(source), F.when(F.col("taken") > 0, times).otherwise(0).alias(total))
+    taken = taken.groupBy(id_, key, source).agg(F.sum(total).cast("int").alias(total), F.count("*").cast("int").alias(rows)).filter(F.col(total) > 0)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(key)) & F.col("source").cast("string").eqNullSafe(F.col(source))
+    joined = docs.withColumn(own, text_key(F.col("text"))).join(taken, same)
+    every = joined.withColumn(n, F.floor(F.col(total) / F.col(rows)).cast("int"))
+    rest = joined.withColumn(n, F.col(total) % F.col(rows)).filter(F.col(n) > 0).dropDuplicates([id_, key, source])
+    each = every.filter(F.col(n) > 0).unionByName(rest)
+    return each.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(n))).alias(n)).select(*docs.columns)
 
 
 #: The same in DuckDB, for source_size, targets, sizes and taken words.
 ORACLE = rf"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD_PATTERN}'))::BIGINT AS size,
-         md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS key
+         md5('mix:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS key
   FROM documents),
 sources AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank

@@ -97,6 +97,26 @@ def test_mix(spark):
     assert mix.mix(df.limit(0)).isEmpty()
 
 
+def test_repeats_follow_the_mix_row_by_row(spark):
+    """Rows without an id, of one id, with columns of any name: each comes as often as it is taken."""
+    import math
+    from collections import Counter
+
+    rows = [(None, f"w{i} " * (1 + i % 7), "a") for i in range(40)] + [(5, "x " * n, "b") for n in range(1, 9)]
+    rows += [(7, "y y", "b")] * 3 + [(7, "y y", "a"), (8, None, "a"), (9, "z", None), (9, "z", None)]
+    df = spark.createDataFrame([(*r, i, "k") for i, r in enumerate(rows)], "doc_id long, text string, source string, copies int, text_key string")
+    taken = Counter()
+    for r in mix.mix(df, keys=True).collect():
+        taken[r.doc_id, bytes(r.text_key), r.source] += math.ceil(r.taken / r["size"]) if r.taken else 0
+    got = mix.repeat_by_mix(df)
+    assert got.columns == df.columns
+    rows_ = got.collect()
+    key = lambda r: (r.doc_id, hashlib.sha256((r.text or "").encode()).digest(), r.source)
+    assert Counter(map(key, rows_)) == Counter({k: n for k, n in taken.items() if n})
+    same = Counter(r.copies for r in rows_ if r.doc_id == 7 and r.source == "b")
+    assert max(same.values(), default=0) - min((same[i] for i in range(48, 51)), default=0) <= 2
+
+
 def test_mix_uses_no_python(spark):
     plan = queries.op5_source_mixing(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
