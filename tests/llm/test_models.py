@@ -33,6 +33,17 @@ def test_ann_recall_and_blocks(spark):
     assert hits / 1000 > 0.99
 
 
+def test_ann_estimates_from_bits():
+    """Inner products by counting bits are those of the unpacked codes, up to the rounding of the query."""
+    rng = np.random.default_rng(3)
+    for dim in (5, 64, 100):
+        q, x = rng.standard_normal((7, dim)), rng.standard_normal((40, dim))
+        planes, codes = ann.Planes(q), ann.packed(x >= 0)
+        got = planes.products(2, 7, codes, np.bitwise_count(codes).sum(1, dtype=np.int64))
+        want = q[2:] @ np.where(x >= 0, 1, -1).T / np.sqrt(dim)
+        assert (np.abs(got - want) <= planes.slack[2:, None] + 1e-12).all() and np.abs(got - want).max() > 0
+
+
 def _small_network(seed=0):
     net = language.Network(["a", "b", "c"], seed)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
