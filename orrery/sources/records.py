@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import store
+
 BRONZE = "seq long, iid long, raw string"
 
 
 def read_bronze(spark: SparkSession, path: str) -> DataFrame:
-    """(seq, iid, raw). Order is seq's; sort only what is shown. A filter on iid reaches the files."""
-    return spark.read.schema(BRONZE).parquet(path)
+    """(seq, iid, raw) of plain Parquet, or of a table in parts. Order is seq's; sort only what is shown.
+    A filter on iid reaches the files."""
+    return spark.read.schema(BRONZE).parquet(store.current(spark, path)[0] or path)
 
 
 def point(bronze: DataFrame, iid: int) -> DataFrame:
@@ -31,23 +34,13 @@ def write_bronze(bronze: DataFrame, path: str, mode: str = "errorifexists", code
 
 
 def swap(df: DataFrame, path: str) -> None:
-    """Replace a table that df itself may read: write beside it, then rename."""
-    spark = df.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    old, new, gone = (jvm.org.apache.hadoop.fs.Path(path + x) for x in ("", ".new", ".old"))
-    fs = old.getFileSystem(conf)
-    df.write.mode("overwrite").parquet(path + ".new")
-    fs.delete(gone, True)
-    if fs.exists(old) and not fs.rename(old, gone):
-        raise OSError(f"can't move {path} aside")
-    if not fs.rename(new, old):
-        raise OSError(f"can't move {path}.new in")
-    fs.delete(gone, True)
+    """Replace a table that df itself may read: all of it or, after a crash at any point, nothing."""
+    store.put(df, path)
 
 
 def decode_blobs(stored: DataFrame) -> DataFrame:
     """(seq, iid, data) of a legacy store -> bronze. Plain blobs are UTF-8 JSON. Blobs tagged L are LZ4
-    blocks behind their size; they are unpacked in Arrow batches by this module's own reader."""
+    blocks behind their size; they are unpacked in Arrow batches."""
 
     def run(batches):
         for b in batches:
@@ -59,14 +52,21 @@ def decode_blobs(stored: DataFrame) -> DataFrame:
 def plain(blob: bytes) -> bytes:
     if blob[:1] != b"L":
         return blob
-    out = lz4_block(blob[5:])
-    if len(out) != int.from_bytes(blob[1:5], "little"):
+    size = int.from_bytes(blob[1:5], "little")
+    try:
+        import pyarrow as pa
+
+        out = pa.decompress(blob[5:], decompressed_size=size, codec="lz4_raw", asbytes=True)
+    except (ImportError, NotImplementedError):
+        out = lz4_block(blob[5:])
+    if len(out) != size:
         raise ValueError("LZ4 block of another size than it says")
     return out
 
 
 def lz4_block(src: bytes) -> bytes:
-    """Unpack one block of the public LZ4 block format: runs of literals and copies from what is out already."""
+    """Unpack one block of the public LZ4 block format, runs of literals and copies from what is out
+    already, where Arrow has been built without that codec."""
     out, i = bytearray(), 0
 
     def length(start: int) -> int:

@@ -9,23 +9,20 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import store
+
 SCHEMAS = {"dims": "iid long, sizes array<int>", "not_found": "filename string", "pending": "pos long, iid long"}
 
 
 def load(spark: SparkSession, path: str, name: str) -> DataFrame:
     """A state table; an empty one where none was saved yet."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
-    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
-        return spark.read.schema(SCHEMAS[name]).parquet(f"{path}/{name}")
-    return spark.createDataFrame([], SCHEMAS[name])
+    held = store.read(spark, f"{path}/{name}", SCHEMAS[name])
+    return spark.createDataFrame([], SCHEMAS[name]) if held is None else held
 
 
 def save(df: DataFrame, path: str, name: str) -> None:
-    """Written beside the old state, then put in its place."""
-    from .records import swap
-
-    swap(df, f"{path}/{name}")
+    """The new state, or after a crash still the old one."""
+    store.put(df, f"{path}/{name}")
 
 
 @dataclass

@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from orrery.sources import feed
+from orrery.sources import feed, store
 from orrery.streaming import sync
 
 from .test_records import record
@@ -55,6 +55,69 @@ def test_classes_order_and_rollback(spark, tmp_path):
     assert sorted(map(tuple, c.bronze().collect())) == before
 
 
+@pytest.mark.parametrize("fail", ["write", "mark", "clear"])
+def test_no_crash_loses_a_row(spark, tmp_path, monkeypatch, fail):
+    """Whatever step a writer dies at, the table is as it was before or as it is after."""
+    at = str(tmp_path / "t")
+    rows = lambda *n: spark.createDataFrame([(i,) for i in n], "i long")
+    read = lambda: sorted(r.i for r in store.read(spark, at, "i long").collect())
+    store.put(rows(1, 2, 3), at)
+    store.put(rows(1, 2, 3, 4), at)
+
+    def dies(*_):
+        raise OSError("dead")
+
+    with monkeypatch.context() as m:
+        if fail == "write":
+            m.setattr(store, "_parts", dies)
+        elif fail == "mark":
+            m.setattr(store, "mark", dies)
+        else:
+            real = store._open
+            m.setattr(store, "_open", lambda s, p: dies() if p.endswith("base-00000001") and store.MARK not in p else real(s, p))
+        with pytest.raises(OSError):
+            store.put(rows(5), at)
+    assert read() == ([5] if fail == "clear" else [1, 2, 3, 4])
+    store.put(rows(6, 7), at)
+    assert read() == [6, 7] and len(store._parts(spark, at)) == 2
+
+
+def test_deltas_skips_and_compaction(spark, tmp_path):
+    c = sync.Collection(spark, str(tmp_path / "c"))
+    first = [(1, record(i, user={"id": i % 5, "name": f"N{i % 5}", "account": ""})) for i in range(100, 0, -1)]
+    c.apply(batch(spark, *first))
+    assert store.current(spark, c.path)[1] == []
+    # a name gains: the user's other records are written again, no others
+    more = [(1, record(200 + i, user={"id": 2, "name": "New", "account": ""})) for i in range(30)]
+    status = {r.iid: r.status for r in c.apply(batch(spark, *more, (1, record(99, title="x", user={"id": 4, "name": "N4", "account": ""})))).collect()}
+    assert status[99] == "IntroChanged" and status[210] == "New"
+    want = sorted((r.iid, r.intro) for r in c.table().collect())
+    assert sorted((r.iid, r.intro) for r in c.stored().collect()) == want and any("new\\n2" in t for _, t in want)
+    assert sorted(r.iid for r in c.select(["new"]).collect()) == sorted([200 + i for i in range(30)] + list(range(2, 101, 5)))
+    # the batch before is remembered
+    again = c.apply(batch(spark, (1, record(99, title="x", user={"id": 4, "name": "N4", "account": ""})), (1, record(1, title="y"))))
+    assert {r.iid: r.status for r in again.collect()} == {99: "Skipped", 1: "IntroChanged"}
+    _, deltas = store.current(spark, c.path)
+    assert len(deltas) == 1 and spark.read.parquet(deltas[0][1]).count() == 1
+    assert c.stored().count() == 130 and "StringContains(intro,new)" in c.select(["new"])._jdf.queryExecution().toString()
+
+
+def test_pending_list_is_taken_up_again(spark, tmp_path):
+    c, got = sync.Collection(spark, str(tmp_path / "c")), []
+
+    def dies(df):
+        raise OSError("no network")
+
+    with pytest.raises(OSError):
+        c.update_then_download(batch(spark, (0, record(3)), (1, record(1))), dies)
+    c.update_then_download(batch(spark, (0, record(5)), (1, record(1, title="b"))), lambda df: got.extend(r.iid for r in df.collect()))
+    assert got == [3, 1, 5]
+    c.recover(dies)
+    last = sync.hooked(c.apply(batch(spark, (1, record(8)), (0, record(9)), (1, record(5)))))
+    # 5 is as it was in the batch before
+    assert [json.loads(r.raw)["id"] for r in last.collect()] == [9, 8]
+
+
 def test_stream_of_pages(spark, tmp_path):
     folder = tmp_path / "feed"
     folder.mkdir()
