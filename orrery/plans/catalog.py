@@ -6,11 +6,14 @@ their text as search text and doc_id as sequence, events for uses of names, and
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
 from ..operators import intro, library, pages, search, stats, upsert, users
+from ..sources import store
 from ..streaming import sync
 from . import postings
 
@@ -33,8 +36,20 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Where the search texts of a table were stored, by application and folder.
+_STORED: dict[tuple[str, str], str] = {}
+
+
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fn.computed_once(_read(spark, sf_dir, "documents").select("doc_id", "text"), norm=fn.normalized(F.col("text"))).drop("text")
+    """(doc_id, norm): the stored search texts of documents. They are made once, by the first query of a
+    session that needs them; all searches read the stored column, as they do in a collection."""
+    own = (spark.sparkContext.applicationId, sf_dir)
+    if own not in _STORED:
+        shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+        path = f"{shared.rstrip('/')}/search-texts-{uuid.uuid4().hex}"
+        store.put(_read(spark, sf_dir, "documents").select("doc_id", fn.normalized(F.col("text")).alias("norm")), path)
+        _STORED[own] = path
+    return store.read(spark, _STORED[own], "doc_id long, norm string")
 
 
 def _selected(spark: SparkSession, sf_dir: str, filters=(), bans=(), **more) -> DataFrame:
@@ -91,10 +106,16 @@ def select_by_sets(spark, sf_dir):
     return search.select_by_sets(_texts(spark, sf_dir), ["the", "and"], ["que"], text="norm", key="doc_id")
 
 
-@query("SELECT DISTINCT p_partkey FROM (SELECT p_partkey, " + _NORM.replace("text", "p_name") + " AS norm FROM part) WHERE contains(norm, 'ring') AND NOT contains(norm, 'red')")
+@query(_matching("contains(norm, 'license') AND NOT contains(norm, 'que')"))
 def select_by_postings(spark, sf_dir):
-    parts = fn.computed_once(_read(spark, sf_dir, "part").select("p_partkey", "p_name"), norm=fn.normalized(F.col("p_name"))).drop("p_name")
-    return postings.select(parts, postings.build(parts, "norm", "p_partkey"), ["ring"], ["red"], "norm", "p_partkey").select("p_partkey")
+    texts = _texts(spark, sf_dir)
+    return postings.select(texts, postings.build(texts, "norm", "doc_id"), ["license"], ["que"], "norm", "doc_id").select("doc_id")
+
+
+@query(_matching("contains(norm, 'xq') AND contains(norm, 'the')"))
+def select_planned(spark, sf_dir):
+    texts = _texts(spark, sf_dir)
+    return postings.planned(texts, postings.build(texts, "norm", "doc_id"), ["the", "xq"], (), "norm", "doc_id").select("doc_id")
 
 
 _FLAGGED = r"""
@@ -125,7 +146,8 @@ def select_flags(spark, sf_dir):
 
 @query(f"SELECT doc_id, md5({_NORM}) AS norm_md5 FROM documents")
 def normalize_text(spark, sf_dir):
-    return _texts(spark, sf_dir).select("doc_id", F.md5("norm").alias("norm_md5"))
+    rows = fn.computed_once(_read(spark, sf_dir, "documents").select("doc_id", "text"), norm=fn.normalized(F.col("text")))
+    return rows.select("doc_id", F.md5("norm").alias("norm_md5"))
 
 
 _PRIMARY = """

@@ -12,10 +12,15 @@ from ..operators.search import condition, prepared
 
 def build(table: DataFrame, text: str = "intro", key: str = "iid") -> DataFrame:
     """(gram, key): each distinct character and pair of characters of each text."""
-    n = F.length(text)
-    starts = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    grams = F.array_distinct(F.concat(F.transform(starts, lambda i: F.substring(F.col(text), i, 1)), F.transform(starts, lambda i: F.substring(F.col(text), i, 2))))
-    return table.select(key, F.explode(grams).alias("gram"))
+    chars = table.select(key, F.split(text, "").alias("_c")).withColumn("_c", F.filter("_c", lambda c: c != ""))
+    ahead = F.slice("_c", 2, F.greatest(F.size("_c") - 1, F.lit(0)))
+    pairs = F.filter(F.zip_with("_c", ahead, lambda a, b: F.concat(a, b)), lambda p: p.isNotNull())
+    return chars.select(key, F.explode(F.array_distinct(F.concat("_c", pairs))).alias("gram"))
+
+
+def appended(postings: DataFrame, delta: DataFrame, text: str = "intro", key: str = "iid") -> DataFrame:
+    """Postings after a delta: those of its texts take the place of what their keys had."""
+    return postings.join(delta.select(key), key, "left_anti").select(key, "gram").unionByName(build(delta, text, key))
 
 
 def grams_of(term: str) -> list[str]:
@@ -36,3 +41,18 @@ def select(table: DataFrame, postings: DataFrame, filters: Iterable[str], bans:
 def choose(rarest: int, rows: int, share: float = 0.01) -> str:
     """scan, or postings if the rarest gram leaves few enough rows."""
     return "postings" if rarest < share * rows else "scan"
+
+
+def planned(table: DataFrame, postings: DataFrame, filters: Iterable[str], bans: Iterable[str] = (), text: str = "intro", key: str = "iid") -> DataFrame:
+    """search.select() by the cheaper plan: the rows of the rarest gram of the filters, verified against
+    all terms, or a scan where even that gram is frequent. Only counts of the query's grams are collected."""
+    filters = list(filters)
+    where = condition(F.col(text), filters, bans)
+    wanted = sorted({g for t in prepared(filters) for g in grams_of(t)})
+    if not wanted:
+        return table.filter(where) if where is not None else table
+    counts = {r["gram"]: r["count"] for r in postings.filter(F.col("gram").isin(wanted)).groupBy("gram").count().collect()}
+    rarest = min(wanted, key=lambda g: counts.get(g, 0))
+    if choose(counts.get(rarest, 0), table.count()) == "scan":
+        return table.filter(where)
+    return table.join(postings.filter(F.col("gram") == rarest).select(key), key, "left_semi").filter(where)

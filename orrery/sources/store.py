@@ -12,7 +12,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 MARK = "_whole"
-_PART = re.compile(r"(base|delta)-(\d{8,})")
+_PART = re.compile(r"(base|delta)-(\d{8,})$")
 
 
 def _open(spark: SparkSession, path: str):
@@ -26,7 +26,7 @@ def _parts(spark: SparkSession, path: str) -> list[tuple[int, str, str, bool]]:
     if not fs.exists(at):
         return []
     names = [s.getPath().getName() for s in fs.listStatus(at)]
-    found = [(int(m[2]), m[1], f"{path}/{n}") for n in names if (m := _PART.fullmatch(n))]
+    found = [(int(m[2]), m[1], f"{path}/{n}") for n in names if (m := _PART.match(n))]
     return sorted((*p, fs.exists(_open(spark, f"{p[2]}/{MARK}")[0])) for p in found)
 
 
