@@ -371,7 +371,10 @@ def judged(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     signed = materialize(banded(docs).select("*", F.monotonically_increasing_id().alias("tie")), "near-bands")
     best = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "tie")
     grouped = signed.groupBy("digest").agg(F.count("*").alias("n"), F.min(best).alias("best"), F.first("bands").alias("bands"))
-    copies = materialize(grouped.select(F.monotonically_increasing_id().alias("row"), "*"), "near-copies")
+    # in the order of their doc_ids, so that what comes first in a bucket is the first document, which
+    # copies were made of more often than of each other
+    ordered = materialize(grouped, "near-grouped").orderBy("best.none", "best.doc_id", "digest")
+    copies = materialize(ordered.select(F.monotonically_increasing_id().alias("row"), "*"), "near-copies")
     deals = materialize(copies.select("row", F.explode("bands").alias("band")), "near-deals")
     ends = deals.groupBy("band").agg(F.min("row").alias("lo"), F.max("row").alias("hi")).filter("lo < hi")
     shared = materialize(deals.join(ends, "band").select("row", "band", "lo"), "near-shared")
