@@ -29,6 +29,8 @@ EPOCHS, BATCH, RATE = 6, 128, 0.02
 SHUFFLED = 4
 #: Stretches labelled at once.
 AT_ONCE = 512
+#: The table of languages, one row each, is broadcast if it has no more rows than this.
+SMALL = 10_000
 
 
 @lru_cache(1)
@@ -185,11 +187,13 @@ def sample(docs: DataFrame) -> DataFrame:
     documents that are not held out are looked at."""
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     known = known.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.octet_length("text") > 0) & ~held_out())
-    counts = known.groupBy("lang").count()
-    quota = max(1, min(PER_LANGUAGE, IN_ALL // max(counts.count(), 1)))
+    n = known.select("lang").distinct().count()
+    quota = max(1, min(PER_LANGUAGE, IN_ALL // max(n, 1)))
     draw = F.pmod(F.xxhash64(F.lit("lid"), F.col("doc_id"), F.col("text")), F.lit(1 << 30)) / (1 << 30)
     first = known.select("lang", draw.alias("draw")).groupBy("lang").agg(F.min("draw").alias("least"), F.count("*").alias("n"))
     upto = first.select("lang", F.greatest(F.col("least"), F.lit(float(quota)) / F.col("n")).alias("upto"))
+    # the texts stay where they are, unless there are more languages than there ever were
+    upto = F.broadcast(upto) if n <= SMALL else upto
     taken = known.withColumn("draw", draw).join(upto, "lang").filter("draw <= upto").select("lang", "draw", "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -142,6 +142,8 @@ def test_many_languages_and_junk(spark):
     many = spark.createDataFrame([(i, " ".join(rng.choices(words[f"l{i % 300}"], k=8)), f"l{i % 300}") for i in range(900)], "doc_id long, text string, lang string")
     drawn = {r.lang for r in language.sample(many).collect()}
     assert drawn == {r.lang for r in many.filter(~language.held_out()).collect()} and len(drawn) > 256
+    few = language.sample(many)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in few and "SortMergeJoin" not in few
     two = [(i, " ".join(rng.choices(words[f"l{i % 2}"], k=rng.randint(2, 40))), f"l{i % 2}") for i in range(300)]
     junk = [(1000 + i, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=300)), None) for i in range(10)]
     df = spark.createDataFrame(two + junk, "doc_id long, text string, lang string")
