@@ -15,7 +15,7 @@ from orrery.llm.common import materialize
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or in which no language reaches 0.3 of the probability, go."""
+    """Documents without a letter, or that the network finds to be in no language, go."""
     return language.keep_identified(docs)
 
 
