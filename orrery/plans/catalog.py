@@ -6,8 +6,6 @@ their text as search text and doc_id as sequence, events for uses of names, and
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,26 +14,12 @@ from ..operators import intro, library, pages, search, stats, upsert, users
 from ..sources import store
 from ..streaming import sync
 from . import postings
-
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .registry import query, shared
+from .registry import read as _read
 
 _NORM = r"regexp_replace(lower(text), '[\x{0009}-\x{000D}\x{0020}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]', '', 'g')"
 
 
-def query(sql: str):
-    def register(f):
-        QUERIES[f.__name__] = f
-        ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
-def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 #: Where the search texts of a table were stored, by application and folder.
 _STORED: dict[tuple[str, str], str] = {}
 
@@ -45,8 +29,7 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     session that needs them; all searches read the stored column, as they do in a collection."""
     own = (spark.sparkContext.applicationId, sf_dir)
     if own not in _STORED:
-        shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-        path = f"{shared.rstrip('/')}/search-texts-{uuid.uuid4().hex}"
+        path = shared(spark, "search-texts")
         store.put(_read(spark, sf_dir, "documents").select("doc_id", fn.normalized(F.col("text")).alias("norm")), path)
         _STORED[own] = path
     return store.read(spark, _STORED[own], "doc_id long, norm string")

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from orrery.plans import catalog
+from orrery.plans import catalog, record_queries, registry  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
@@ -18,11 +18,11 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query_equals_sql(spark, duck, name):
-    df = catalog.QUERIES[name](spark, SF)
+    df = registry.QUERIES[name](spark, SF)
     columns = sorted(df.columns)
-    cursor = duck.execute(catalog.ORACLES[name])
+    cursor = duck.execute(registry.ORACLES[name])
     names = [d[0] for d in cursor.description]
     assert sorted(names) == columns
     want = sorted(tuple(str(r[names.index(c)]) for c in columns) for r in cursor.fetchall())
