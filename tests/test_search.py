@@ -48,10 +48,10 @@ def test_rare_terms_are_looked_up(spark):
 
 
 def test_stored_column_is_searched(spark):
-    from orrery.plans import catalog
+    from orrery.plans import catalog, registry  # noqa: F401
 
     for name in ("select_mixed", "select_all_terms", "select_ban_only"):
-        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+        plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
         assert "StringContains(norm,the)" in plan and "Python" not in plan and "Arrow" not in plan
 
 
