@@ -17,9 +17,12 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: spark.checkpoint.dir, or (only where the
-    session names none, as in tests) a folder of our own which is then set as that."""
+    session names none and runs on one machine, as in tests) a folder of our own which is then set as
+    that. On a cluster a folder that only one machine sees would lose data, so there it must be set."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         conf = "file://" + tempfile.mkdtemp(prefix="orrery-")
         spark.conf.set("spark.checkpoint.dir", conf)
     return conf.rstrip("/")

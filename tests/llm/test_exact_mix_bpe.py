@@ -5,6 +5,7 @@ import re
 from collections import defaultdict
 
 import public_tokenizers
+import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
@@ -145,3 +146,20 @@ def test_bpe_is_the_librarys(spark):
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, part string")
     assert sorted(map(tuple, bpe.encode(df, RANKS, public_tokenizers.PATTERN).collect()), key=str) == sorted(want, key=str)
     assert bpe.encode(df.limit(0), RANKS, public_tokenizers.PATTERN).isEmpty()
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    from types import SimpleNamespace
+
+    shared_dir = common.shared_dir
+
+    def session(master, named=None):
+        held = {} if named is None else {"spark.checkpoint.dir": named}
+        conf = SimpleNamespace(get=lambda k, default=None: held.get(k, default), set=held.__setitem__)
+        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, getConf=lambda: conf))
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
+            shared_dir(session(master))
+        assert shared_dir(session(master, "hdfs://n/shared/")) == "hdfs://n/shared"
+    assert shared_dir(session("local[4]")).startswith("file:")
