@@ -2,7 +2,7 @@ import base64
 import hashlib
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import public_tokenizers
 import pytest
@@ -41,6 +41,31 @@ def test_full_bytes_are_checked(spark):
     assert sorted([tuple(r)[:4] for r in weak.collect()], key=str) == [r[:4] for r in keep(DOCS)]
 
 
+def test_state_outlasts_a_call(spark, tmp_path):
+    """Batches meet those of earlier calls; a batch run again counts once; texts are fetched by locator."""
+    weak = lambda n: F.length(n).cast("string")
+    for name, digest in (("sha", exact.sha256_digest), ("weak", weak)):
+        home, rows = f"{tmp_path}/{name}", []
+        for k, part in enumerate([DOCS[:4], [(21, "ba"), *DOCS[8:]], [(20, "a  b  "), (None, "qq"), *DOCS[4:8]]]):
+            path = f"{tmp_path}/{name} docs-{k}"
+            spark.createDataFrame(part, "doc_id long, text string").repartition(2).write.parquet(path)
+            rows += part
+            expected = keep(rows)
+            for _ in range(2 if k == 1 else 1):
+                got = exact.dedup_exact(spark.read.parquet(path), digest, home=home, batch=f"b {k}").collect()
+                own = Counter((d, hashlib.sha256(re.sub(r"[\x20\x09-\x0D]", "", t or "").encode()).hexdigest()) for d, t in part)
+                judged = {r for r in expected if (r[0], r[4]) in own}
+                assert {tuple(r)[:4] for r in got} == {r[:4] for r in judged}
+                assert Counter(r.doc_id for r in got) == Counter(d for d, _ in part)
+
+
+def test_lasting_state_needs_files(spark, tmp_path):
+    df = spark.createDataFrame(DOCS, "doc_id long, text string")
+    exact.dedup_exact(df, home=f"{tmp_path}/h", batch="0").collect()
+    with pytest.raises(ValueError, match="files"):
+        exact.dedup_exact(df, home=f"{tmp_path}/h", batch="1").collect()
+
+
 def test_distinct_texts_under_one_id_stay(spark):
     """Null and repeated ids: each text is judged by itself, and a rejected copy isn't let back in."""
     rows = [(None, "x one"), (None, "x two"), (None, "x three"), (5, "y one"), (5, "y two"), (5, "z"), (2, "z "), (7, "w"), (7, "w"), (8, "v v"), (8, "vv "), (None, None)]
